@@ -1,0 +1,111 @@
+"""Frequency of every distinct term, kept by signed deltas.
+
+State: one row (field_name, term, n_occurrences, n_records) per live term, Parquet partitioned by a hash bucket of the
+term, and one row (field_name, n_total) per field. A change set is aggregated to signed differences per term and
+merged, so that a batch costs its own size plus the buckets it touches.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakesearch.sources.shared import materialize
+
+BUCKETS = 16
+KEYS = ["field_name", "term"]
+
+
+def from_arrays(df: DataFrame, record: str, field: str) -> DataFrame:
+    """(field_name, term, record, occurrences) of an array column.
+
+    Null arrays, null record ids and null or empty terms give no row. A record's repeated rows add to its
+    occurrences, and it stays one record.
+    """
+    rows = df.select(F.col(record).alias("record"), F.explode(field).alias("term")).where("record is not null and term <> ''")
+    seen = rows.groupBy("term", "record").agg(F.count(F.lit(1)).alias("occurrences"))
+    return seen.select(F.lit(field).alias("field_name"), "term", "record", "occurrences")
+
+
+def from_postings(df: DataFrame, name: str = "posting") -> DataFrame:
+    """The same of postings: rows of one (term, doc_id) are versions of one posting, of which the largest term_freq
+    counts; a posting whose every term_freq is null counts as a record with 0 occurrences."""
+    rows = df.where("doc_id is not null and term <> ''").groupBy("term", F.col("doc_id").alias("record"))
+    seen = rows.agg(F.coalesce(F.max("term_freq").cast("long"), F.lit(0)).alias("occurrences"))
+    return seen.select(F.lit(name).alias("field_name"), "term", "record", "occurrences")
+
+
+def delta(added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Signed change per term. A changed record stands in `removed` as it was and in `added` as it is."""
+    parts = [
+        seen.groupBy(*KEYS).agg((F.sum("occurrences") * sign).alias("n_occurrences"), (F.count(F.lit(1)) * sign).alias("n_records"))
+        for seen, sign in ((added, 1), (removed, -1))
+        if seen is not None
+    ]
+    return parts[0] if len(parts) == 1 else merge(*parts, keep_zero=True)
+
+
+def merge(*parts: DataFrame, keep_zero: bool = False) -> DataFrame:
+    """Sum of states and deltas; terms whose record count falls to 0 are gone unless `keep_zero`."""
+    total = reduce(DataFrame.unionByName, parts).groupBy(*KEYS)
+    total = total.agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+    return total if keep_zero else total.where("n_records > 0")
+
+
+def totals(df: DataFrame, record: str, *names: str, sign: int = 1) -> DataFrame:
+    """(field_name, n_total): the distinct records of a table, once for each field taken from it."""
+    n = df.agg(F.countDistinct(record).alias("n_total"))
+    return n.select(F.explode(F.array(*map(F.lit, names))).alias("field_name"), (F.col("n_total") * sign).alias("n_total"))
+
+
+def marked(counts: DataFrame, total: DataFrame, rare_below: int = 3, common_percent: int = 5) -> DataFrame:
+    """Counts with mark 'rare', 'common' or null; where both hold, 'rare'. `total` has one row per field."""
+    joined = counts.join(F.broadcast(total), "field_name")
+    common = F.col("n_records") * 100 > F.col("n_total") * common_percent
+    mark = F.when(F.col("n_records") < rare_below, "rare").when(common, "common")
+    return joined.select(*KEYS, "n_occurrences", "n_records", mark.alias("mark"))
+
+
+class TermStore:
+    """Term counts on disk, changed by deltas. An absent store is empty."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _exists(self, part: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def counts(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], "field_name string, term string, n_occurrences bigint, n_records bigint")
+        return self.spark.read.parquet(f"{self.path}/counts").drop("bucket") if self._exists("counts") else empty
+
+    def totals(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], "field_name string, n_total bigint")
+        if not self._exists("totals"):
+            return empty
+        return self.spark.read.parquet(f"{self.path}/totals").groupBy("field_name").agg(F.sum("n_total").alias("n_total"))
+
+    def apply(self, change: DataFrame, total_change: DataFrame) -> TermStore:
+        """Merge a delta: only the buckets that it touches are read and rewritten."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        change = change.withColumn("bucket", bucket)
+        if self._exists("counts"):
+            change = materialize(change, "delta")
+            touched = [r.bucket for r in change.select("bucket").distinct().collect()]  # at most BUCKETS rows
+            old = self.spark.read.parquet(f"{self.path}/counts").where(F.col("bucket").isin(touched))
+            new = materialize(merge(old.drop("bucket"), change.drop("bucket"), keep_zero=True), "merged").where("n_records > 0")
+            # an emptied bucket must be overwritten too: a row of zeros marks it
+            rest = self.spark.createDataFrame([("", "", 0, 0, b) for b in touched], "field_name string, term string, n_occurrences bigint, n_records bigint, bucket int")
+            out = new.withColumn("bucket", bucket).unionByName(rest)
+        else:
+            out = change.where("n_records > 0")
+        writer = out.repartition(BUCKETS, "bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
+        writer.mode("overwrite").parquet(f"{self.path}/counts")
+        total_change.coalesce(1).write.mode("append").parquet(f"{self.path}/totals")
+        return self
+
+    def marked(self, **limits: int) -> DataFrame:
+        return marked(self.counts().where("n_records > 0"), self.totals(), **limits)

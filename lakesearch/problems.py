@@ -1,0 +1,72 @@
+"""The queries of problems 4 and 7 over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakesearch.functions import urls
+from lakesearch.operators import capping, counts
+from lakesearch.sources.shared import shared_dir
+from lakesearch.sources.tables import table
+
+
+def _change(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs, postings = table(spark, folder, "crawl_docs"), table(spark, folder, "postings")
+    seen = counts.from_arrays(docs, "doc_id", "title_tokens").unionByName(counts.from_arrays(docs, "doc_id", "desc_tokens")).unionByName(counts.from_postings(postings))
+    total = counts.totals(docs, "doc_id", "title_tokens", "desc_tokens").unionByName(counts.totals(postings, "doc_id", "posting"))
+    return counts.delta(seen), total
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    change, total = _change(spark, folder)
+    return counts.marked(counts.merge(change), total).where("mark is not null").select("field_name", "term", "mark")
+
+
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term's counts and mark, through a store on disk."""
+    store = counts.TermStore(spark, f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}")
+    return store.apply(*_change(spark, folder)).marked()
+
+
+def _drop(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "crawl_docs")
+    order = [F.coalesce(-F.col("authority"), F.lit(float("inf"))), F.col("authority").isNull(), F.col("doc_id")]
+    return docs, capping.dropped(docs, urls.site(F.col("url")), order, capping.cap_of(docs.count(), 2), ["doc_id"])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _drop(spark, folder)[1]
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    docs, gone = _drop(spark, folder)
+    return docs.join(gone, "doc_id", "left_anti").select("doc_id", urls.site(F.col("url")).alias("site"), "authority")
+
+
+SITE = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '')"
+
+TERMS = """WITH o AS (
+  SELECT 'title_tokens' AS field_name, term, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(title_tokens) AS term FROM crawl_docs) GROUP BY 2, 3
+  UNION ALL SELECT 'desc_tokens', term, doc_id, count(*) FROM (SELECT doc_id, unnest(desc_tokens) AS term FROM crawl_docs) GROUP BY 2, 3
+  UNION ALL SELECT 'posting', term, doc_id, coalesce(max(term_freq), 0) FROM postings GROUP BY 2, 3
+), c AS (
+  SELECT field_name, term, CAST(sum(n) AS BIGINT) AS n_occurrences, count(*) AS n_records FROM o WHERE term <> '' AND doc_id IS NOT NULL GROUP BY 1, 2
+), m AS (
+  SELECT *, CASE WHEN n_records < 3 THEN 'rare'
+    WHEN n_records * 100 > 5 * (CASE WHEN field_name = 'posting' THEN (SELECT count(DISTINCT doc_id) FROM postings) ELSE (SELECT count(DISTINCT doc_id) FROM crawl_docs) END) THEN 'common' END AS mark FROM c
+) """
+
+RANKED = f"""WITH s AS (SELECT doc_id, authority, CASE WHEN url IS NULL THEN NULL ELSE {SITE.format(u="url")} END AS site FROM crawl_docs),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY authority DESC NULLS LAST, doc_id) AS rn FROM s),
+c AS (SELECT greatest(1, count(*) * 2 // 100) AS c FROM crawl_docs) """
+
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p7_kept": p7_kept}
+SQL = {
+    "p4_found": TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
+    "p4_counts": TERMS + "SELECT field_name, term, n_occurrences, n_records, mark FROM m",
+    "p7_found": RANKED + "SELECT doc_id FROM r, c WHERE site IS NOT NULL AND rn > c",
+    "p7_kept": RANKED + "SELECT doc_id, site, authority FROM r, c WHERE site IS NULL OR rn <= c",
+}
