@@ -21,6 +21,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lakesearch.sources.workers import ship
+
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that the rank files are made for.
@@ -180,5 +182,6 @@ def encode(df: DataFrame, record: str, text: str, name: str = "byte_bpe_50k", fo
             ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[record, "ids"])
 
+    ship(df.sparkSession)
     kind = df.schema[record].dataType.simpleString()
     return df.select(record, text).mapInArrow(run, f"{record} {kind}, ids array<int>")

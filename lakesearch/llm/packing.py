@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lakesearch.llm.bpe import TOKENIZERS, encoder
+from lakesearch.sources.workers import ship
 
 MAX_OPEN = 1024
 
@@ -85,4 +86,5 @@ def pack(df: DataFrame, record: str, text: str, targets: list[tuple[int, str, in
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    ship(df.sparkSession)
     return df.select(record, text).mapInArrow(run, SCHEMA)

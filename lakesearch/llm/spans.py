@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesearch.sources.shared import materialize
+from lakesearch.sources.workers import ship
 
 LEAST = 120
 #: A kept window in more rows than this is verified by whole windows instead of by pairs.
@@ -112,6 +113,7 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
                 [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(key), pa.array(doc), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "key", "doc", "at"]
             )
 
+    ship(texts.sparkSession)
     return texts.select("doc", "key", "text").mapInArrow(run, "h bigint, key bigint, doc bigint, at int")
 
 
