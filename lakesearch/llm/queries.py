@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions import urls
-from lakesearch.llm import bpe, mojibake, packing, residue, sitelines, spans
+from lakesearch.llm import bpe, mojibake, packing, residue, sitelines, spans, stuffing
 from lakesearch.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residues(table(spark, folder, "crawl_docs"), "doc_id", "title", "body_text", urls.site(F.col("url")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.heaps(table(spark, folder, "crawl_docs"), "doc_id", "title", "body_text", "outlinks")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_restored(spark, folder).select("doc_id", "field_name")
 
@@ -58,7 +62,7 @@ p AS (SELECT site, count(DISTINCT doc_id) AS pages FROM d GROUP BY 1),
 r AS (SELECT n.site, n.line FROM n JOIN p USING (site) WHERE line <> '' GROUP BY 1, 2, pages HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 100 >= 5 * pages)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p6_found": LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN r USING (site, line)",
     "p6_cleaned": LINES
