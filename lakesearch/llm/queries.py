@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions import urls
-from lakesearch.llm import bpe, mojibake, packing, residue, sitelines, spans, stuffing
+from lakesearch.llm import bpe, mainbody, mojibake, packing, residue, sitelines, spans, stuffing
+from lakesearch.sources.shared import materialize
 from lakesearch.sources.tables import table
 
 
@@ -26,6 +27,21 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore(table(spark, folder, "crawl_docs"), "doc_id", ["title", "body_text"])
 
 
+def _articles(spark: SparkSession, folder: str) -> DataFrame:
+    """crawl_docs without the pages of problem 1; those of problem 2 are told while their lines are read."""
+    gone = materialize(p1_found(spark, folder), "residues")
+    gone = F.broadcast(gone) if gone.count() <= spans.BROADCAST_ROWS else gone
+    return table(spark, folder, "crawl_docs").join(gone, "doc_id", "left_anti")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.furniture_lines(_articles(spark, folder), "doc_id", "title", "body_text", "outlinks")
+
+
+def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.main_text(_articles(spark, folder), "doc_id", "title", "body_text", "outlinks")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "crawl_docs")
     return sitelines.found(docs, "doc_id", urls.site(F.col("url")), "body_text").withColumnRenamed("record", "doc_id")
@@ -62,7 +78,7 @@ p AS (SELECT site, count(DISTINCT doc_id) AS pages FROM d GROUP BY 1),
 r AS (SELECT n.site, n.line FROM n JOIN p USING (site) WHERE line <> '' GROUP BY 1, 2, pages HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 100 >= 5 * pages)
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_articles": p5_articles, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p6_found": LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN r USING (site, line)",
     "p6_cleaned": LINES
