@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 # Query keys that only track visitors.
 TRACKING_KEYS = [
-    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "msclkid",
-    "dclid", "mc_cid", "mc_eid", "ref", "source", "from", "spm", "share_token", "sns",
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
+    "fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid",
+    "ref", "spm", "source", "from", "share_token", "sns",
 ]
 
 # Path endings that are never pages.
 SKIP_ENDINGS = [
-    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv",
-    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".7z", ".tar", ".gz", ".exe", ".dmg",
-    ".apk", ".iso", ".css", ".js", ".xml", ".json", ".rss", ".woff", ".woff2", ".ttf", ".eot",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+    ".zip", ".rar", ".7z", ".tar", ".gz",
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".ico", ".webp",
+    ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".wav",
+    ".exe", ".dmg", ".apk", ".ipa",
+    ".css", ".js", ".json", ".xml", ".rss", ".woff", ".woff2", ".ttf",
 ]
 
 
@@ -46,11 +50,23 @@ def query(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[^?#]*\?([^#]*)", 1)
 
 
+def _recode(text: Column) -> Column:
+    """Percent-decoded and encoded again, with + for a blank; what can't be decoded stays as it is."""
+    plain = F.coalesce(F.try_url_decode(text), text)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def clean_query(text: Column) -> Column:
-    """The query string without tracking pairs, order kept; pairs without a name and value are dropped."""
+    """The query string without tracking pairs: order kept, blank values kept, pairs encoded in one way."""
+
+    def pair(p: Column) -> Column:
+        at = F.instr(p, "=")
+        name, value = F.when(at > 0, F.substring_index(p, "=", 1)).otherwise(p), F.when(at > 0, F.substr(p, at + 1)).otherwise(F.lit(""))
+        return F.concat(_recode(name), F.lit("="), _recode(value))
+
     pairs = F.filter(F.split(text, "&"), lambda p: p != "")
-    kept = F.filter(pairs, lambda p: ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING_KEYS))
-    return F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    kept = F.filter(pairs, lambda p: ~F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.substring_index(p, "=", 1))).isin(TRACKING_KEYS))
+    return F.array_join(F.transform(kept, pair), "&")
 
 
 def normalize(url: Column, legacy_port: bool = False) -> Column:
