@@ -80,7 +80,7 @@ def cleaned(df: DataFrame, record: str, site: Column, body: str, **limits: int)
     Lines and their order are otherwise kept, blank lines too. Confirmed lines reach a page as its site's array, whose
     size is bounded: a site has at most (lines a page) * 100 / percent of them.
     """
-    confirmed = repeated(df, record, site, body, **limits).groupBy("site").agg(F.collect_set("line").alias("gone"))
-    rows = df.select(F.col(record), site.alias("site"), F.col(body)).join(_sized(confirmed, "confirmed"), "site", "left")
-    kept = F.filter(F.split(F.col(body), "\n"), lambda x: ~F.array_contains(F.col("gone"), normal_line(x)))
-    return rows.select(record, F.when(F.col("gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n")).alias(body))
+    confirmed = repeated(df, record, site, body, **limits).groupBy(F.col("site").alias("_site")).agg(F.collect_set("line").alias("_gone"))
+    rows = df.select(F.col(record), site.alias("_site"), F.col(body)).join(_sized(confirmed, "confirmed"), "_site", "left")
+    kept = F.filter(F.split(F.col(body), "\n"), lambda x: ~F.array_contains(F.col("_gone"), normal_line(x)))
+    return rows.select(record, F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n")).alias(body))
