@@ -144,17 +144,16 @@ _GLUED = re.compile(r"(?<=[A-Za-z])(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=
 def cost(text: str) -> float:
     """Implausibility of the characters of a text, about 0 for clean text of the known languages."""
     kinds = _GLUED.sub(" ", text).translate(_CLASS)
-    total = 0.0
+    letters = Counter(c for c in text.lower() if c in _LETTER) if "c" in kinds or "C" in kinds else None
+    strange = sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * letters.total() if letters else 0.0
+    total = max(0.0, strange) if letters and letters.total() > 5 else 0.0
     for k, n in Counter(kinds).items():
         if k in _ONE:
             total += _ONE[k] * n
     for (a, b), n in Counter(zip(kinds, kinds[1:], strict=False)).items():
         if (w := _TWO.get(a + b)) is not None:
-            total += w * n
-    letters = Counter(c for c in text.lower() if c in _LETTER)
-    if letters:
-        size = sum(letters.values())
-        total += max(0.0, sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * size) if size > 5 else 0.0
+            # capitals are as good as small letters where they make Russian words
+            total += w * n * (0.1 if a + b == "CC" and strange <= 0 else 1)
     return total
 
 

@@ -25,6 +25,9 @@ LEAST_RUN, LEAST_CLAUSE_RUN = 2.0, 3.0
 #: A page is a heap if at most CLAUSES of its characters are in clauses and at least REPEATS are in repeats, and it has
 #: at least SIZE characters; LINKED replaces CLAUSES where a link comes on at most LINK_CHARS characters.
 CLAUSES, LINKED, REPEATS, SIZE, LINK_CHARS = 0.31, 0.33, 0.1, 130, 40
+#: Sentences made of repeats are no clauses on a page of so poor a vocabulary (different words to words); elsewhere they
+#: are just said twice.
+POOR = 0.3
 #: A sentence is a clause from this many words, of which this part differ, and at most this part in repeats.
 WORDS, DISTINCT, DISTINCT_HAN, REPEATED = 6, 0.6, 0.45, 0.6
 
@@ -64,7 +67,9 @@ def repeat_lengths(tokens: list[str]) -> list[int]:
                     step[state][token] = twin
                     state = link[state]
         last = new
-    return [length[link[s]] for s in ends]
+    # a whole beginning that comes again is the longest string of its own state, and then some state links to it
+    inner = set(link)
+    return [length[s] if s in inner else length[link[s]] for s in ends]
 
 
 def _tokens(text: str) -> list[str]:
@@ -98,7 +103,7 @@ def _in_trigrams(tokens: list[str]) -> list[bool]:
     return [x or y or z for x, y, z in zip([*flags, False, False], [False, *flags, False], [False, False, *flags], strict=True)] if grams else [False] * len(tokens)
 
 
-def measure(tokens: list[str], sizes: list[int]) -> tuple[float, float]:
+def measure(tokens: list[str], sizes: list[int], poor: bool = True) -> tuple[float, float]:
     """(part in repeats, part in clauses) of a page's characters, by its suffix automaton."""
     runs = repeat_lengths(tokens)
     mass = list(accumulate((0.5 if "一" <= t <= "鿿" else 1.0 for t in tokens), initial=0.0))
@@ -115,7 +120,7 @@ def measure(tokens: list[str], sizes: list[int]) -> tuple[float, float]:
         if i >= first:
             covered += sizes[i]
         long_runs[i] = i >= first_long
-    return covered / total, _clauses(tokens, sizes, long_runs) / total
+    return covered / total, _clauses(tokens, sizes, long_runs if poor else [False] * n) / total
 
 
 def is_heap(title: str | None, body: str | None, links: int) -> bool:
@@ -130,11 +135,13 @@ def is_heap(title: str | None, body: str | None, links: int) -> bool:
     size = sum(sizes)
     if size < SIZE:
         return False
+    words = [t for t in tokens if t.isalpha()]
+    poor = len(set(words)) < POOR * len(words)
     limit = LINKED if links and size <= LINK_CHARS * links else CLAUSES
     # trigrams cover whatever long repeats cover: clauses beyond the limit even so leave the automaton nothing to change
-    if _clauses(tokens, sizes, _in_trigrams(tokens)) > limit * size:
+    if _clauses(tokens, sizes, _in_trigrams(tokens) if poor else [False] * len(tokens)) > limit * size:
         return False
-    repeats, clauses = measure(tokens, sizes)
+    repeats, clauses = measure(tokens, sizes, poor)
     return clauses <= limit and repeats >= REPEATS
 
 
