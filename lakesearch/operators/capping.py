@@ -30,20 +30,20 @@ def dropped(df: DataFrame, contributor: Column, order: list[Column], cap: int, c
     spark = df.sparkSession
     big = over_cap(df, contributor, cap)
     # fewer than rows / cap contributors are over the cap: 50 of them for 2 percent, a proven bound
-    names = [f"o{i}" for i in range(len(order))]
-    rows = df.select(contributor.alias("contributor"), *[c.alias(n) for c, n in zip(order, names, strict=True)], *columns)
-    rows = rows.join(F.broadcast(big), "contributor", "left_semi")
+    names = [f"_order{i}" for i in range(len(order))]
+    rows = df.select(contributor.alias("_who"), *[c.alias(n) for c, n in zip(order, names, strict=True)], *columns)
+    rows = rows.join(F.broadcast(big.withColumnRenamed("contributor", "_who")), "_who", "left_semi")
     # `order` is given as ascending keys, so each name sorts as it is
-    keys = ["contributor", *names]
+    keys = ["_who", *names]
     ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
-    placed = materialize(ranged.select("contributor", *columns, F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ranks")
-    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    placed = materialize(ranged.select("_who", *columns, F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ranks")
+    sizes = sorted((r._part, r.n) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
     starts, before = [], 0
     for part, n in sizes:
         starts.append((part, before))
         before += n
-    offsets = spark.createDataFrame(starts, "part bigint, before bigint")
-    exact = placed.join(F.broadcast(offsets), "part").withColumn("position", F.col("before") + F.col("place"))
-    begins = exact.groupBy("contributor").agg(F.min("position").alias("begin"))
-    return exact.join(F.broadcast(begins), "contributor").where(F.col("position") - F.col("begin") >= cap).select(*columns)
+    offsets = spark.createDataFrame(starts, "_part bigint, _before bigint")
+    exact = placed.join(F.broadcast(offsets), "_part").withColumn("_position", F.col("_before") + F.col("_place"))
+    begins = exact.groupBy("_who").agg(F.min("_position").alias("_begin"))
+    return exact.join(F.broadcast(begins), "_who").where(F.col("_position") - F.col("_begin") >= cap).select(*columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import urllib.robotparser
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,7 @@ from lakesearch.sources.workers import ship
 
 def split_seeds(text: Column) -> Column:
     """Addresses of a text parted by line ends and commas (also the full-width one), trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, "[\n,，]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[\n,，]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def valid_seed(url: Column) -> Column:
@@ -60,13 +60,13 @@ def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str = "*") ->
 
     @F.pandas_udf("boolean")
     def may(url: pd.Series, rules: pd.Series) -> pd.Series:
-        parsed: dict[str, urllib.robotparser.RobotFileParser] = {}
+        parsed: dict[str, RobotFileParser] = {}
 
         def one(u: str, r: str | None) -> bool:
             if not isinstance(r, str):
                 return True
             if r not in parsed:
-                parsed[r] = urllib.robotparser.RobotFileParser()
+                parsed[r] = RobotFileParser()
                 parsed[r].parse(r.splitlines())
             return parsed[r].can_fetch(agent, u)
 
