@@ -45,9 +45,9 @@ LINES = [
     # placeholders and filler
     r"(?:your|my|the) (?:content|text|copy|title|headline) (?:goes )?here\b.*", r"(?:sample|dummy|placeholder|example) (?:text|content|copy)\b.{0,40}(?:here|edit|replace).*", r"replace this (?:text|copy|paragraph)\b.*",
     r"(?:description|text) of (?:product|item|service)s? ?\d* goes (?:in|into) this (?:box|field|space)\b.*", r"(?:todo|tbd|fixme|tk)\b ?[:\-–].*", r"(?:asdf|qwerty|test|foo|bar|blah|xxx)(?:[ ,.]+(?:asdf|qwerty|test|foo|bar|blah|xxx|\d+))+\.?",
-    r"(?:sub)?heading(?: \d+)?", r"button(?: text| label)?", r"(?:add|insert|enter|type) (?:your|some) (?:text|content|title)\b.{0,40}", r"click (?:here )?to (?:edit|add)\b.{0,40}",
-    r"ceci est un texte de remplissage\b.*", r"(?:votre|saisissez votre|insérez votre) (?:texte|contenu) (?:ici)\b.*", r"(?:hier steht ihr text|dies ist ein blindtext|blindtext)\b.*", r"(?:este es un texto de (?:relleno|ejemplo|prueba)|(?:escriba|inserte|aquí va) (?:aquí )?su texto)\b.*",
-    r"(?:este é um texto de (?:exemplo|preenchimento)|(?:escreva|insira) (?:aqui )?o? ?seu texto|o seu texto aqui)\b.*", r"здесь будет (?:ваш )?текст.*", r"(?:текст-заполнитель|введите (?:ваш )?текст).*", r"(?:此处|这里|请在此)(?:填写|输入|插入|放置).*(?:内容|文字|文本|正文).*",
+    r"(?:sub)?heading(?: \d+)?", r"x{3,}(?: x{3,})+\.?", r"(?:image|photo|figure) (?:caption|placeholder|goes here)\.?", r"(?:exemple de texte|texte d['’]exemple|beispieltext|mustertext|platzhaltertext|текст для примера|пример текста|示例文字|示例文本|占位(?:文字|文本))\b.*", r"button(?: text| label)?", r"(?:add|insert|enter|type) (?:your|some) (?:text|content|title)\b.{0,40}", r"click (?:here )?to (?:edit|add)\b.{0,40}",
+    r"ceci est un texte de remplissage\b.*", r"(?:votre|saisissez votre|insérez votre) (?:texte|contenu) (?:ici)\b.*", r"(?:hier steht ihr text|dies ist ein blindtext|blindtext)\b.*", r"(?:(?:este es un )?texto de (?:relleno|ejemplo|prueba)|(?:escriba|inserte|aquí va) (?:aquí )?su texto)\b.*",
+    r"(?:(?:este é um )?texto de (?:exemplo|preenchimento|teste)|(?:escreva|insira) (?:aqui )?o? ?seu texto|o seu texto aqui)\b.*", r"здесь будет (?:ваш )?текст.*", r"(?:текст-заполнитель|введите (?:ваш )?текст).*", r"(?:此处|这里|请在此)(?:填写|输入|插入|放置).*(?:内容|文字|文本|正文).*",
     # values that scripts failed to fill in
     r"(?:undefined|null|nan|none|\[object object\])(?:[ ,/|·\-]+(?:undefined|null|nan|none|\[object object\]))+", r"(?:price|date|author|title|name|total|by|posted by|published)\b ?:? ?(?:undefined|null|nan|none|invalid date)\b.*", r"undefined|\[object object\]",
     # pages that are missing
