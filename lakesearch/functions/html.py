@@ -104,7 +104,7 @@ def _main(root: Node) -> str:
     return "\n".join(s for s in body.strings() if len(s) > 1)
 
 
-def parse(url: str, page: str | None, longest_url: int = 512, longest_body: int = 50_000) -> tuple:
+def parse(url: str, page: str | None, longest_url: int = 2048, longest_body: int = 50_000) -> tuple:
     """(url, title, description, body_text, links, text_length); all empty for a null page."""
     if page is None:
         return url, "", "", "", [], 0

@@ -79,3 +79,11 @@ def corrected(queries: DataFrame, stats: DataFrame) -> DataFrame:
     out = fixed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "token", "word"))).alias("x"))
     joined = F.array_join(F.transform("x", lambda x: x.token), " ")
     return out.select("query_id", F.when(F.exists("x", lambda x: x.token != x.word), joined).alias("corrected"))
+
+
+def external_snippet(raw: str | None, size: int) -> str:
+    """A snippet of an external server for display: unescaped, cut with dots, its emphasis as bold."""
+    if not raw:
+        return ""
+    plain = html.unescape(raw)
+    return (plain if len(plain) <= size else plain[:size] + "...").replace("<em>", "<b>").replace("</em>", "</b>")

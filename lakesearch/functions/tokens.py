@@ -109,3 +109,27 @@ def segmented(df: DataFrame, text: str, out: str, words: list[tuple[str, int | N
 
     ship(df.sparkSession)
     return df.withColumn(out, cut(F.col(text)))
+
+
+def viterbi_cut(run: str, start: dict[str, float], move: dict[str, dict[str, float]], emit: dict[str, dict[str, float]], unseen: float = -math.log(65536)) -> list[str]:
+    """Words of a run by the likeliest begin/middle/end/single tagging, all arguments log probabilities. An opt-in for
+    text without a dictionary; `Segmenter` never needs it, for each of its words is in the dictionary or one character."""
+    if not run:
+        return []
+    score = {s: start.get(s, -math.inf) + emit.get(s, {}).get(run[0], unseen) for s in "BMES"}
+    back: list[dict[str, str]] = []
+    for c in run[1:]:
+        step = {s: max("BMES", key=lambda p, s=s: score[p] + move.get(p, {}).get(s, -math.inf)) for s in "BMES"}
+        score = {s: score[p] + move.get(p, {}).get(s, -math.inf) + emit.get(s, {}).get(c, unseen) for s, p in step.items()}
+        back.append(step)
+    tag = max("ES", key=score.__getitem__)
+    tags = [tag]
+    for step in reversed(back):
+        tag = step[tag]
+        tags.append(tag)
+    words, begin = [], 0
+    for i, t in enumerate(reversed(tags)):
+        if t in "ES":
+            words.append(run[begin : i + 1])
+            begin = i + 1
+    return words + ([run[begin:]] if begin < len(run) else [])

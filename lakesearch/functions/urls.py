@@ -91,7 +91,7 @@ def fingerprint(url: Column) -> Column:
     return F.md5(url)
 
 
-def should_skip(url: Column, max_length: int = 512) -> Column:
+def should_skip(url: Column, max_length: int = 2048) -> Column:
     ending = "(" + "|".join(e.replace(".", r"\.") for e in SKIP_ENDINGS) + ")$"
     return ~scheme(url).isin("http", "https") | F.lower(path(url)).rlike(ending) | (F.length(url) > max_length)
 

@@ -29,13 +29,14 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, iteratio
     links = materialize(links.join(degree, "src"), "edges")
     linked = links.select(F.col("src").alias("doc_id"), F.lit(True).alias("out")).distinct()
     ranks = materialize(nodes.select("doc_id").join(linked, "doc_id", "left").select("doc_id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved")), "ranks")
+    loose = ranks.where("not out").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(iterations):
-        loose = ranks.where("not out").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         share = links.join(ranks.select(F.col("doc_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         rank = F.lit((1 - damping) / n + damping / n * loose) + damping * F.coalesce("got", F.lit(0.0))
         ranks = ranks.join(share, "doc_id", "left").select("doc_id", "out", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
         ranks = materialize(ranks, "ranks")
-        if epsilon and ranks.agg(F.sum("moved")).first()[0] < epsilon:
+        loose, moved = ranks.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0)), F.sum("moved")).first()
+        if moved < epsilon:
             break
     return ranks.select("doc_id", "rank")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesearch.functions import urls
@@ -11,7 +11,7 @@ from lakesearch.functions import urls
 PAGE_TYPES = ["text/html", "text/plain", "application/xhtml+xml"]
 
 
-def accepted(entries: DataFrame, max_depth: int = 5, max_length: int = 512) -> DataFrame:
+def accepted(entries: DataFrame, max_depth: int = 5, max_length: int = 2048) -> DataFrame:
     """Entries worth fetching, with `norm` their normalised address: http(s), no file of another kind, not too long, not
     deeper than `max_depth` (a null depth counts as 0)."""
     rows = entries.withColumn("norm", urls.normalize(F.col("url"))).where("norm <> ''")
@@ -57,3 +57,18 @@ def usable_fetches(fetches: DataFrame, max_bytes: int = 5 * 1024 * 1024) -> Data
     kind = F.lower(F.trim(F.substring_index("content_type", ";", 1)))
     fine = F.col("content_type").isNull() | (kind == "") | kind.isin(PAGE_TYPES)
     return fetches.where((F.col("status") == 200) & (F.coalesce("error", F.lit("")) == "") & fine & (F.coalesce("body_bytes", F.lit(0)) <= max_bytes))
+
+
+def save(path: str, seen: DataFrame, queue: DataFrame, total_added: int, total_crawled: int) -> None:
+    """Write a frontier to resume from: fingerprints seen, the queue with its order, and the two counters."""
+    spark = queue.sparkSession
+    seen.select("fp").distinct().write.mode("overwrite").parquet(f"{path}/seen")
+    queue.select("url", "depth", "anchor_text", "priority").write.mode("overwrite").parquet(f"{path}/queue")
+    counts = spark.createDataFrame([(total_added, total_crawled)], "total_added bigint, total_crawled bigint")
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/counters")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """(seen, queue, total_added, total_crawled) as saved; a crawl's budget goes on from total_crawled."""
+    counts = spark.read.schema("total_added bigint, total_crawled bigint").json(f"{path}/counters").first()
+    return spark.read.parquet(f"{path}/seen"), spark.read.parquet(f"{path}/queue"), counts.total_added, counts.total_crawled

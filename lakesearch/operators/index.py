@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,17 @@ def save(spark: SparkSession, path: str, version: str, **tables: DataFrame) -> N
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     version = spark.read.schema("version string").json(f"{path}/current").first().version
     return spark.read.parquet(f"{path}/{version}/{name}")
+
+
+class Snapshot:
+    """The current version of a saved index; `changed` is called when another one has been published."""
+
+    def __init__(self, spark: SparkSession, path: str, changed: Callable[[], object] = lambda: None):
+        self.spark, self.path, self.changed, self.version = spark, path, changed, None
+
+    def table(self, name: str) -> DataFrame:
+        version = self.spark.read.schema("version string").json(f"{self.path}/current").first().version
+        if version != self.version:
+            self.version = version
+            self.changed()
+        return self.spark.read.parquet(f"{self.path}/{version}/{name}")

@@ -187,7 +187,7 @@ def page_article_text(spark, folder):
     return _html(spark, folder).select("doc_id", "page.body_text").join(long, "doc_id", "left_semi")
 
 
-@query("SELECT doc_id, url AS page_url, link FROM (SELECT doc_id, url, unnest(list_distinct(outlinks)) AS link FROM crawl_docs WHERE url IS NOT NULL) WHERE link <> '' AND length(link) <= 512 AND link LIKE 'http%'")
+@query("SELECT doc_id, url AS page_url, link FROM (SELECT doc_id, url, unnest(list_distinct(outlinks)) AS link FROM crawl_docs WHERE url IS NOT NULL) WHERE link <> '' AND length(link) <= 2048 AND link LIKE 'http%'")
 def page_links(spark, folder):
     rows = _html(spark, folder).select("doc_id", F.col("url").alias("page_url"), F.explode("page.links").alias("l"))
     return rows.select("doc_id", "page_url", F.col("l.url").alias("link"))
@@ -466,7 +466,7 @@ def _entries(spark, folder):
     return frontier.accepted(table(spark, folder, "frontier"))
 
 
-FRONT = f"""WITH a AS (SELECT *, {normal_sql('url')} AS norm FROM frontier), b AS (SELECT * FROM a WHERE norm <> '' AND NOT regexp_matches(lower({path_sql('norm')}), '{SKIP}') AND length(norm) <= 512 AND coalesce(depth, 0) <= 5),
+FRONT = f"""WITH a AS (SELECT *, {normal_sql('url')} AS norm FROM frontier), b AS (SELECT * FROM a WHERE norm <> '' AND NOT regexp_matches(lower({path_sql('norm')}), '{SKIP}') AND length(norm) <= 2048 AND coalesce(depth, 0) <= 5),
 f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY norm ORDER BY coalesce(priority, 1e9), entry_id, queued_at, url) = 1) """
 
 
