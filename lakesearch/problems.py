@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions import urls
 from lakesearch.operators import capping, counts
-from lakesearch.sources.shared import shared_dir
+from lakesearch.sources.shared import scratch
 from lakesearch.sources.tables import table
 
 
@@ -27,7 +25,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every term's counts and mark, through a store on disk."""
-    store = counts.TermStore(spark, f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}")
+    store = counts.TermStore(spark, scratch(spark, "terms"))
     return store.apply(*_change(spark, folder)).marked()
 
 

@@ -390,7 +390,7 @@ def bm25_time_decay(spark, folder):
 
 
 @query(
-    LIVE + f", ph AS ({phrase_sql(['also', 'known'])}), " + bm25_sql("a", ["also", "known"], "SELECT doc_id FROM ph") + " SELECT doc_id, round(2 * score, 6) AS score FROM a"
+    LIVE + f", ph AS ({phrase_sql(['also', 'known'])}), " + bm25_sql("a", ["also", "known"], "SELECT doc_id FROM ph") + " SELECT doc_id, round(2 * a.score, 6) AS score FROM a ORDER BY a.score DESC, doc_id LIMIT 1000"
 )
 def phrase_bonus(spark, folder):
     # the phrase is the only content: its documents get the score of its terms and the bonus of the same amount

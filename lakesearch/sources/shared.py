@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lakesearch-")
         spark.sparkContext.setCheckpointDir(found)
@@ -24,14 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's process ends."""
+    path = f"{shared_dir(spark)}/lakesearch-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage without depending on any executor's disk. The table is removed when the session's process ends.
+    Cuts the lineage without depending on any executor's disk.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakesearch-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
