@@ -247,7 +247,8 @@ def repair(line: str) -> tuple[str, bool]:
         return line, False
     best, c = search(line, start)
     if c <= KEEP * start and start - c >= GAIN:
-        return best, True
+        # what one search leaves may be plain for the next; every turn lowers the cost by half at least
+        return repair(best)[0], True
     # parts of a line may be wrong on their own
     words = line.split(" ")
     fixed, hit = [], "�" in line
@@ -258,7 +259,8 @@ def repair(line: str) -> tuple[str, bool]:
                 word, hit = b, True
         fixed.append(word)
     if hit:
-        return " ".join(fixed), True
+        mended = " ".join(fixed)
+        return (repair(mended)[0] if mended != line else line), True
     odd = sum(not c.isascii() for c in line)
     return line, odd >= 3 and start > LOST * odd + 1
 

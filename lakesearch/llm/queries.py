@@ -27,19 +27,20 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore(table(spark, folder, "crawl_docs"), "doc_id", ["title", "body_text"])
 
 
-def _articles(spark: SparkSession, folder: str) -> DataFrame:
-    """crawl_docs without the pages of problem 1; those of problem 2 are told while their lines are read."""
+def _without_residues(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """`rows` without the pages of problem 1, taken out behind the extraction so that no whole text is joined."""
     gone = materialize(p1_found(spark, folder), "residues")
-    gone = F.broadcast(gone) if gone.count() <= spans.BROADCAST_ROWS else gone
-    return table(spark, folder, "crawl_docs").join(gone, "doc_id", "left_anti")
+    return rows.join(F.broadcast(gone) if gone.count() <= spans.BROADCAST_ROWS else gone, "doc_id", "left_anti")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mainbody.furniture_lines(_articles(spark, folder), "doc_id", "title", "body_text", "outlinks")
+    docs = table(spark, folder, "crawl_docs")
+    return _without_residues(spark, folder, mainbody.furniture_lines(docs, "doc_id", "title", "body_text", "outlinks"))
 
 
 def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return mainbody.main_text(_articles(spark, folder), "doc_id", "title", "body_text", "outlinks")
+    docs = table(spark, folder, "crawl_docs")
+    return _without_residues(spark, folder, mainbody.main_text(docs, "doc_id", "title", "body_text", "outlinks"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
