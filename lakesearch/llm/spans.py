@@ -127,9 +127,12 @@ def _of_docs(texts: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.select("doc", "text").join(_small(materialize(docs.distinct(), "docs")), "doc", "left_semi")
 
 
-def _cold(hits: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Maximal spans (key_a, key_b, doc_a, doc_b, start_a, start_b, length) from windows of few texts."""
+def _cold(hits: DataFrame, texts: DataFrame, least: int, whole: bool) -> DataFrame:
+    """Spans (key_a, key_b, doc_a, doc_b, start_a, start_b, length) from windows of few texts: maximal if `whole`, else cut
+    off at `least - k` characters beyond the window, which is enough to tell whether they reach `least`; then only
+    slices of that size are moved instead of texts."""
     k = least // 2 + 1
+    reach = least - k
     order = Window.partitionBy("key").orderBy("at")
     rows = hits.withColumn("h0", F.lag("h").over(order)).withColumn("gap", F.col("at") - F.lag("at").over(order))
     rows = materialize(rows.select("h", "key", "doc", "at", "h0", "gap"), "cold")
@@ -139,16 +142,28 @@ def _cold(hits: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     goes_on = (F.col("h0_a") == F.col("h0_b")) & (F.col("gap_a") == F.col("gap_b")) & (F.col("gap_a") <= k)
     pairs = a.join(b, "h").where((F.col("key_a") < F.col("key_b")) & ~F.coalesce(goes_on, F.lit(False)))
     pairs = materialize(pairs.select("key_a", "key_b", "doc_a", "doc_b", "at_a", "at_b"), "pairs")
-    wanted = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b"))
-    pool = _of_docs(texts, wanted)
-    full = pairs.join(pool.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    full = full.join(pool.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("at_a").alias("at")).union(pairs.select("doc_b", "at_b"))
+    if whole:
+        on = ["doc"]
+        pool = _of_docs(texts, wanted.select("doc")).withColumn("base", F.lit(0))
+    else:
+        on = ["doc", "at"]
+        places = materialize(wanted.groupBy("doc").agg(F.collect_set("at").alias("places")), "places")
+        pool = texts.select("doc", "text").join(_small(places), "doc").select("doc", "text", F.explode("places").alias("at"))
+        base = F.greatest(F.lit(0), F.col("at") - reach)
+        pool = pool.select("doc", "at", base.alias("base"), F.substr("text", base + 1, F.col("at") - base + k + reach).alias("text"))
+    full = pairs
+    for x in "ab":
+        side = pool.select(*[F.col(c).alias(f"{c}_{x}") for c in (*on, "base", "text")])
+        full = full.join(side, [f"{c}_{x}" for c in on])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
             out = [[], [], []]
-            for i, (s, t, p, q) in enumerate(zip(cols["text_a"], cols["text_b"], cols["at_a"], cols["at_b"], strict=True)):
+            at = {c: np.array(cols[f"at_{c}"], np.int64) for c in "ab"}
+            base = {c: np.array(cols[f"base_{c}"], np.int64) for c in "ab"}
+            for i, (s, t, p, q) in enumerate(zip(cols["text_a"], cols["text_b"], (at["a"] - base["a"]).tolist(), (at["b"] - base["b"]).tolist(), strict=True)):
                 x, y = codes(s), codes(t)
                 n = min(p, q)
                 differ = np.flatnonzero(x[p - n : p][::-1] != y[q - n : q][::-1])
@@ -160,13 +175,13 @@ def _cold(hits: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                     for column, v in zip(out, (i, p - left, left + right), strict=True):
                         column.append(v)
             keep = np.array(out[0], np.int64)
-            start, length = np.array(out[1], np.int64), np.array(out[2], np.int64)
-            shift = np.array(cols["at_b"], np.int64)[keep] - np.array(cols["at_a"], np.int64)[keep]
+            start, length = np.array(out[1], np.int64) + base["a"][keep], np.array(out[2], np.int64)
+            shift = at["b"][keep] - at["a"][keep]
             ids = [pa.array(np.array(cols[c], np.int64)[keep]) for c in ("key_a", "key_b", "doc_a", "doc_b")]
             names = ["key_a", "key_b", "doc_a", "doc_b", "start_a", "start_b", "length"]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(start), pa.array(start + shift), pa.array(length)], names=names)
 
-    return full.select("key_a", "key_b", "doc_a", "doc_b", "at_a", "at_b", "text_a", "text_b").mapInArrow(
+    return full.select("key_a", "key_b", "doc_a", "doc_b", "at_a", "at_b", "base_a", "base_b", "text_a", "text_b").mapInArrow(
         run, "key_a bigint, key_b bigint, doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, length bigint"
     )
 
@@ -199,7 +214,7 @@ def _hot(hits: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.join(_small(materialize(again, "again")), "h", "left_semi")
 
 
-def _found(df: DataFrame, record: str, text: str, least: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _found(df: DataFrame, record: str, text: str, least: int, hot: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(texts, cold spans, hot windows or None)."""
     texts = _texts(df, record, text, least)
     anchors = materialize(_anchors(texts, least), "anchors")
@@ -207,7 +222,7 @@ def _found(df: DataFrame, record: str, text: str, least: int, hot: int) -> tuple
     again = materialize(again.select("h", (F.col("n") > hot).alias("hot")), "repeated")
     hits = anchors.join(_small(again), "h").groupBy("h", "hot", "key", "at").agg(F.min("doc").alias("doc"))
     hits = materialize(hits, "hits")
-    cold = materialize(_cold(hits.where("not hot"), texts, least), "spans")
+    cold = materialize(_cold(hits.where("not hot"), texts, least, whole), "spans")
     return texts, cold, materialize(_hot(hits.where("hot"), texts, least), "hotwindows") if hits.where("hot").limit(1).count() else None
 
 
@@ -217,7 +232,7 @@ def pairs(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int =
     Null texts and texts shorter than `least` are in no pair; two records of one text of that length are a pair. A
     repeated row (same record id) is the same record.
     """
-    texts, cold, windows = _found(df, record, text, least, hot)
+    texts, cold, windows = _found(df, record, text, least, hot, whole=False)
     met = cold.select("key_a", "key_b", "doc_a", "doc_b")
     if windows is not None:
         a, b = (windows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "doc", "before")]) for x in "ab")
@@ -242,7 +257,7 @@ def shared(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int =
     shared_chars counts the characters inside spans of at least `least` that stand in another record's text, merged
     into n_spans maximal intervals. A text that has a copy is shared as a whole.
     """
-    texts, cold, windows = _found(df, record, text, least, hot)
+    texts, cold, windows = _found(df, record, text, least, hot, whole=True)
     sides = [cold.select(F.col(f"key_{x}").alias("key"), F.col(f"start_{x}").alias("start"), (F.col(f"start_{x}") + F.col("length")).alias("end")) for x in "ab"]
     parts = sides[0].union(sides[1])
     if windows is not None:
