@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ SKIP_ENDINGS = [
 ]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once, however often `use` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
@@ -82,8 +89,8 @@ def normalize(url: Column, legacy_port: bool = False) -> Column:
         a = F.when(s == "http", F.regexp_replace(a, r":80$", "")).otherwise(F.regexp_replace(a, r":443$", ""))
     p = path(url)
     p = F.when(p == "", F.lit("/")).when(p == "/", p).otherwise(F.regexp_replace(p, r"/+$", ""))
-    q = clean_query(query(url))
-    full = F.concat(s, F.lit("://"), a, p, F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+    q = _once(clean_query(query(url)), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+    full = F.concat(s, F.lit("://"), a, p, q)
     return F.when(s.isin("http", "https"), full).otherwise(F.lit(""))
 
 

@@ -14,7 +14,8 @@ PAGE_TYPES = ["text/html", "text/plain", "application/xhtml+xml"]
 def accepted(entries: DataFrame, max_depth: int = 5, max_length: int = 2048) -> DataFrame:
     """Entries worth fetching, with `norm` their normalised address: http(s), no file of another kind, not too long, not
     deeper than `max_depth` (a null depth counts as 0)."""
-    rows = entries.withColumn("norm", urls.normalize(F.col("url"))).where("norm <> ''")
+    # a generator keeps the optimizer from computing the address again for each condition on it
+    rows = entries.select("*", F.explode(F.array(urls.normalize(F.col("url")))).alias("norm")).where("norm <> ''")
     return rows.where(~urls.should_skip(F.col("norm"), max_length) & (F.coalesce("depth", F.lit(0)) <= max_depth))
 
 

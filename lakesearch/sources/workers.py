@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,10 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             z.write(file, str(file.relative_to(package.parent)))
     spark.sparkContext.addPyFile(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores for work in Python, where its files give fewer partitions than there are cores; a table of any
+    size has more and stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
