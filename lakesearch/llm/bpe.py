@@ -21,7 +21,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakesearch.sources.workers import ship
+from lakesearch.sources.workers import ship, spread
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -184,4 +184,4 @@ def encode(df: DataFrame, record: str, text: str, name: str = "byte_bpe_50k", fo
 
     ship(df.sparkSession)
     kind = df.schema[record].dataType.simpleString()
-    return df.select(record, text).mapInArrow(run, f"{record} {kind}, ids array<int>")
+    return spread(df.select(record, text)).mapInArrow(run, f"{record} {kind}, ids array<int>")

@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakesearch.sources.workers import ship
+from lakesearch.sources.workers import ship, spread
 
 # Encodings of web pages of the Western, Russian and Chinese languages.
 ENCODINGS = ["cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "gb18030"]
@@ -299,4 +299,4 @@ def restore(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "field_name", "restored", "recovered"])
 
     ship(df.sparkSession)
-    return df.select(df[record].cast("long").alias("doc_id"), *fields).mapInArrow(run, SCHEMA)
+    return spread(df.select(df[record].cast("long").alias("doc_id"), *fields)).mapInArrow(run, SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.llm.sitelines import normal_line
 from lakesearch.sources.shared import materialize
-from lakesearch.sources.workers import ship
+from lakesearch.sources.workers import ship, spread
 
 #: A line in at least so many pages, and at least this percentage, of its host is boilerplate.
 BOILER_PAGES, BOILER_PERCENT = 12, 30
@@ -125,7 +125,7 @@ def suspects(df: DataFrame, record: str, title: str, body: str, site: Column) ->
     ship(df.sparkSession)
     kind = df.schema[record].dataType.simpleString()
     rows = df.select(F.col(record).alias("record"), site.alias("site"), F.col(title).alias("title"), F.col(body).alias("body"))
-    return rows.mapInArrow(run, f"record {kind}, site string, by_title boolean, evidence array<string>")
+    return spread(rows).mapInArrow(run, f"record {kind}, site string, by_title boolean, evidence array<string>")
 
 
 def residues(df: DataFrame, record: str, title: str, body: str, site: Column) -> DataFrame:

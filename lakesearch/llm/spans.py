@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesearch.sources.shared import materialize
-from lakesearch.sources.workers import ship
+from lakesearch.sources.workers import ship, spread
 
 LEAST = 120
 #: A kept window in more rows than this is verified by whole windows instead of by pairs.
@@ -114,7 +114,7 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
             )
 
     ship(texts.sparkSession)
-    return texts.select("doc", "key", "text").mapInArrow(run, "h bigint, key bigint, doc bigint, at int")
+    return spread(texts.select("doc", "key", "text")).mapInArrow(run, "h bigint, key bigint, doc bigint, at int")
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.llm.mojibake import repair_text
-from lakesearch.sources.workers import ship
+from lakesearch.sources.workers import ship, spread
 
 #: A repeat counts from this many tokens; a Chinese character is half a token.
 LEAST_RUN, LEAST_CLAUSE_RUN = 2.0, 3.0
@@ -157,4 +157,4 @@ def heaps(df: DataFrame, record: str, title: str, body: str, outlinks: str) -> D
     ship(df.sparkSession)
     links = F.coalesce(F.size(F.filter(outlinks, lambda x: x.isNotNull())), F.lit(0))
     kind = df.schema[record].dataType.simpleString()
-    return df.select(record, title, body, F.greatest(links, F.lit(0)).alias("links")).mapInArrow(run, f"{record} {kind}")
+    return spread(df.select(record, title, body, F.greatest(links, F.lit(0)).alias("links"))).mapInArrow(run, f"{record} {kind}")
