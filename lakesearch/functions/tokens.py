@@ -108,7 +108,8 @@ def segmented(df: DataFrame, text: str, out: str, words: list[tuple[str, int | N
             yield x.map(holder[0].tokens, na_action="ignore")
 
     ship(df.sparkSession)
-    return df.withColumn(out, cut(F.col(text)))
+    # called nondeterministic only so that a filter on `out` does not run the function a second time
+    return df.withColumn(out, cut.asNondeterministic()(F.col(text)))
 
 
 def viterbi_cut(run: str, start: dict[str, float], move: dict[str, dict[str, float]], emit: dict[str, dict[str, float]], unseen: float = -math.log(65536)) -> list[str]:

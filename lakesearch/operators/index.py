@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesearch.functions.tokens import latin_tokens
+from lakesearch.functions.tokens import latin_tokens, segmented
 
 
-def assembled(df: DataFrame) -> DataFrame:
-    """`df` with `tokens` of title, description and body; pages of under 10 characters or 2 tokens are left out."""
+def assembled(df: DataFrame, words: Sequence[tuple[str, int | None]] | None = ()) -> DataFrame:
+    """`df` with `tokens` of title, description and body; pages of under 10 characters or 2 tokens are left out.
+
+    `words` is the dictionary (word, freq) that Chinese text is cut along; without words its characters stand alone.
+    None takes Latin tokens only and stays in the JVM, for rows that are compared with SQL.
+    """
     text = F.concat_ws("\n", "title", "description", "body_text")
-    rows = df.where(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= 10).withColumn("tokens", latin_tokens(text))
+    rows = df.where(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= 10)
+    if words is None:
+        rows = rows.withColumn("tokens", latin_tokens(text))
+    else:
+        rows = segmented(rows.withColumn("_text", text), "_text", "tokens", list(words)).drop("_text")
     return rows.where(F.size("tokens") >= 2)
 
 

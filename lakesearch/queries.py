@@ -117,8 +117,13 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"))
 
 
-def _built(spark: SparkSession, folder: str) -> DataFrame:
-    return index.occurrences(index.assembled(table(spark, folder, "crawl_docs")))
+def _pages(spark: SparkSession, folder: str, mixed: bool = False) -> DataFrame:
+    """The pages with tokens: Latin ones as in PAGES, or of the whole text by the dictionary."""
+    return index.assembled(table(spark, folder, "crawl_docs"), tokens.lexicon_words(table(spark, folder, "lexicon")) if mixed else None)
+
+
+def _built(spark: SparkSession, folder: str, mixed: bool = False) -> DataFrame:
+    return index.occurrences(_pages(spark, folder, mixed))
 
 
 # --- URLs
@@ -224,7 +229,32 @@ def term_stats(spark, folder):
 
 @query(PAGES + "SELECT (SELECT count(*) FROM kept) AS total_docs, count(DISTINCT term) AS vocabulary_size, printf('%.1f', sum(term_freq)::DOUBLE / (SELECT count(*) FROM kept)) AS avg_doc_length, CAST(sum(term_freq) AS BIGINT) AS total_word_count FROM post")
 def corpus_stats(spark, folder):
-    docs = index.assembled(table(spark, folder, "crawl_docs"))
+    docs = _pages(spark, folder)
+    return index.corpus_stats(docs, index.postings(index.occurrences(docs)))
+
+
+# the same of whole pages, Chinese text by the dictionary; DuckDB can't segment, so these have no SQL
+
+
+@query()
+def postings_mixed(spark, folder):
+    return index.postings(_built(spark, folder, mixed=True))
+
+
+@query()
+def doc_length_mixed(spark, folder):
+    return index.doc_lengths(index.postings(_built(spark, folder, mixed=True)))
+
+
+@query()
+def term_stats_mixed(spark, folder):
+    return index.term_stats(_built(spark, folder, mixed=True))
+
+
+@query()
+def corpus_stats_mixed(spark, folder):
+    # segmented once: the pages and the postings are both counted
+    docs = materialize(_pages(spark, folder, mixed=True).select("doc_id", "tokens", "title_tokens", "desc_tokens"), "pages")
     return index.corpus_stats(docs, index.postings(index.occurrences(docs)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +23,12 @@ def windowed_counts(events: DataFrame, time: str, size: str, late: str, *keys: s
     return events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def index_pages(pages: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+def index_pages(pages: DataFrame, path: str, checkpoint: str, words: Sequence[tuple[str, int | None]] = (), **trigger: object) -> StreamingQuery:
     """Append the postings and documents of each micro-batch under `path`, in a folder of the batch's number: a batch
-    that is run again after a failure replaces itself."""
+    that is run again after a failure replaces itself. `words` is the dictionary for Chinese text (`index.assembled`)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = index.assembled(batch)
+        docs = index.assembled(batch, words)
         index.postings(index.occurrences(docs)).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
         docs.drop("tokens").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
 
