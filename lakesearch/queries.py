@@ -192,6 +192,16 @@ def page_article_text(spark, folder):
     return _html(spark, folder).select("doc_id", "page.body_text").join(long, "doc_id", "left_semi")
 
 
+@query(
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(body_text, ''), chr(10)), lambda x: {strip_sql("x")}), lambda x: length(x) > 1) AS ls, list_transform(list_filter(coalesce(outlinks, []), lambda x: x IS NOT NULL), lambda x: 'go') AS go FROM crawl_docs WHERE url IS NOT NULL),
+    t AS (SELECT *, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS n, list_filter(ls, lambda x: length(x) >= 20) AS blocks FROM l)
+    SELECT doc_id, substr(array_to_string(CASE WHEN n >= 100 THEN ls WHEN len(blocks) >= 2 THEN blocks ELSE list_concat(ls, go) END, chr(10)), 1, 50000) AS body_text FROM t"""
+)
+def page_main_text(spark, folder):
+    # every page: short articles take the text of their blocks, and those of fewer than two blocks the whole body
+    return _html(spark, folder).select("doc_id", "page.body_text")
+
+
 @query("SELECT doc_id, url AS page_url, link FROM (SELECT doc_id, url, unnest(list_distinct(outlinks)) AS link FROM crawl_docs WHERE url IS NOT NULL) WHERE link <> '' AND length(link) <= 2048 AND link LIKE 'http%'")
 def page_links(spark, folder):
     rows = _html(spark, folder).select("doc_id", F.col("url").alias("page_url"), F.explode("page.links").alias("l"))
