@@ -6,8 +6,8 @@ of how implausible the characters are side by side, plus a small price per edge.
 answer if it is clearly cheaper than the start. What stays implausible, or holds replacement characters, is affected
 but lost.
 
-Almost all lines show no implausible character at all (one regular expression); their cost is that of the goal, so the
-search is over before its first edge.
+A line is searched if what `cost` charges it beyond ordinary characters, also after resolving character references,
+could be lowered by enough. All encodings read ASCII alike, so only ASCII lines without references need no cost at all.
 """
 
 from __future__ import annotations
@@ -99,6 +99,10 @@ _TWO = {
     "ab": 1.5, "ba": 1.0, "be": 1.5, "eb": 1.5, "by": 1.5, "yb": 1.5, "bg": 1.5, "bE": 1.5, "Eb": 1.5, "Ab": 1.0, "bc": 1.5, "cb": 1.5, "bC": 1.5, "Cb": 1.5, "zb": 1.0,
     "zk": 1.5, "kz": 1.5, "ze": 1.0, "ez": 1.0, "zE": 1.0, "zc": 1.0, "cz": 1.0, "zC": 1.0, "ea": 0.0, "ao": 0.8, "oa": 0.8, "zy": 0.8, "yz": 0.8, "za": 1.2, "az": 0.6, "sz": 0.3, "zs": 0.3,
 }
+#: Classes whose charge only makes one reading preferred to another.
+_ORDINARY = "eEgtCb"
+#: Two accented letters of one case, no more, as in "größe" and "AÇÃO": their charge is as ordinary.
+_COUPLE = re.compile("(?<![eE])(?:ee|EE)(?![eE])")
 # Per mille of the letters in Russian text.
 _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.5, 2], strict=True))
 
@@ -111,7 +115,7 @@ def _russian_costs() -> dict[str, float]:
 
 _LETTER = _russian_costs()
 
-#: Anything that costs; a text without it has nothing to repair.
+#: Characters that are plausible by themselves.
 _plain = f"{_WEST_LOWER}{_WEST_UPPER}{_QUOTES}{_SIGNS}{_ARROWS}{_BOX}{_CJK_MARKS}"
 
 
@@ -122,6 +126,7 @@ def _level_one() -> str:
 
 @lru_cache(1)
 def _suspect() -> re.Pattern:
+    """What only wrong decoding leaves, though nothing may repair it."""
     ordinary = f"\\x20-\\x7e\\t\\r\\n 　а-яА-ЯёЁ０-ｚ{re.escape(_plain)}{_level_one()}"
     up, low = _WEST_UPPER, _WEST_LOWER
     signs, quotes, latin = re.escape(_SIGNS), re.escape(_QUOTES), f"a-zA-Z{low}{up}"
@@ -141,20 +146,45 @@ def _suspect() -> re.Pattern:
 _GLUED = re.compile(r"(?<=[A-Za-z])(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=[A-Za-z]{3})")
 
 
-def cost(text: str) -> float:
-    """Implausibility of the characters of a text, about 0 for clean text of the known languages."""
+@lru_cache(1)
+def _charged() -> re.Pattern:
+    """Whatever `evidence` counts, as kinds: a class beyond the ordinary ones, a pair that costs, Russian letters."""
+    pairs: dict[str, str] = {}
+    for (a, b), w in ((p, w) for p, w in _TWO.items() if w):
+        pairs[a] = pairs.get(a, "") + b
+    return re.compile(f"[cC{''.join(k for k in _ONE if k not in _ORDINARY)}]|" + "|".join(f"{a}[{b}]" for a, b in pairs.items()))
+
+
+def _costs(text: str) -> tuple[float, float]:
+    """(cost, evidence) of a text."""
     kinds = _GLUED.sub(" ", text).translate(_CLASS)
+    counts = Counter(kinds)
+    small = sum(_ONE[k] * counts[k] for k in _ORDINARY)
+    if not _charged().search(kinds):
+        return small, 0.0
     letters = Counter(c for c in text.lower() if c in _LETTER) if "c" in kinds or "C" in kinds else None
     strange = sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * letters.total() if letters else 0.0
     total = max(0.0, strange) if letters and letters.total() > 5 else 0.0
-    for k, n in Counter(kinds).items():
-        if k in _ONE:
+    for k, n in counts.items():
+        if k in _ONE and k not in _ORDINARY:
             total += _ONE[k] * n
     for (a, b), n in Counter(zip(kinds, kinds[1:], strict=False)).items():
         if (w := _TWO.get(a + b)) is not None:
             # capitals are as good as small letters where they make Russian words
             total += w * n * (0.1 if a + b == "CC" and strange <= 0 else 1)
-    return total
+    couples = 0.5 * len(_COUPLE.findall(kinds))
+    return total + small, total - couples
+
+
+def cost(text: str) -> float:
+    """Implausibility of the characters of a text, about 0 for clean text of the known languages."""
+    return _costs(text)[0]
+
+
+def evidence(text: str) -> float:
+    """The cost without the small charges of ordinary characters: a long line of accented words collects those, and
+    is clean."""
+    return _costs(text)[1]
 
 
 def _sloppy(name: str) -> dict[int, int]:
@@ -237,37 +267,61 @@ def search(text: str, start: float) -> tuple[str, float]:
     return best, best_cost
 
 
+def _ascii(text: str) -> bool:
+    """Whether no edge changes the text."""
+    return text.isascii() and "&" not in text
+
+
+def _start(line: str) -> tuple[str, float, float]:
+    """Where the search begins, its cost and evidence: the line, or what its character references hide if that costs
+    more."""
+    at, shown = (0.0, 0.0) if line.isascii() else _costs(line)
+    if "&" in line and _REFERENCE.search(line):
+        other = html.unescape(line)
+        if not other.isascii() and (c := _costs(other))[1] > shown:
+            return other, *c
+    return line, at, shown
+
+
+def _repaired(line: str) -> str | None:
+    """The line after one search, null if nothing clearly cheaper was reached."""
+    begin, start, shown = _start(line)
+    if shown < GAIN:
+        return None
+    best, c = search(begin, start)
+    # what is saved is counted without the price of the path
+    return best if c <= KEEP * start and shown - evidence(best) >= GAIN else None
+
+
 @lru_cache(maxsize=40_000)
 def repair(line: str) -> tuple[str, bool]:
     """A line as it should read, and whether it was wrongly decoded (also if it can't be restored)."""
-    if line.isascii() or not _suspect().search(line):
-        return line, False
-    start = cost(line)
-    if start < GAIN:
+    if _ascii(line) or _start(line)[2] < GAIN:
         return line, False
-    best, c = search(line, start)
-    if c <= KEEP * start and start - c >= GAIN:
+    if (best := _repaired(line)) is not None:
         # what one search leaves may be plain for the next; every turn lowers the cost by half at least
         return repair(best)[0], True
     # parts of a line may be wrong on their own
     words = line.split(" ")
     fixed, hit = [], "�" in line
-    for word in words:
-        if not word.isascii() and _suspect().search(word) and (s := cost(word)) >= GAIN:
-            b, c = search(word, s)
-            if c <= KEEP * s and s - c >= GAIN:
-                word, hit = b, True
+    for i, word in enumerate(words):
+        if not _ascii(word):
+            # the space behind a word is part of its evidence
+            space = " " if i + 1 < len(words) else ""
+            if (new := _repaired(word + space)) is not None:
+                word, hit = new.removesuffix(space), True
         fixed.append(word)
     if hit:
         mended = " ".join(fixed)
         return (repair(mended)[0] if mended != line else line), True
+    # Latin beside Chinese is a sign only where a repair is found: by itself it doesn't make a line lost
     odd = sum(not c.isascii() for c in line)
-    return line, odd >= 3 and start > LOST * odd + 1
+    return line, odd >= 3 and cost(line) > LOST * odd + 1 and bool(_suspect().search(line))
 
 
 def repair_text(text: str | None) -> tuple[str | None, bool]:
     """Every line of a text repaired; whether any was wrong. Null stays null."""
-    if not text or text.isascii() or not _suspect().search(text):
+    if not text or _ascii(text):
         return text, False
     done = [repair(x) for x in text.split("\n")]
     if not any(hit for _, hit in done):
