@@ -145,6 +145,10 @@ def _suspect() -> re.Pattern:
 #: Where a Latin word runs into a Russian one, as in tags; wrong decoding mixes single letters.
 _GLUED = re.compile(r"(?<=[A-Za-z])(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=[A-Za-z]{3})")
 
+_RUSSIAN_LETTER = re.compile("[а-яА-Я]")
+#: ASCII but control characters, between other ASCII.
+_INSIDE = re.compile(r"(?<=[\x00-\x7f])[\t\n\r\x20-\x7e]+(?=[\x00-\x7f])")
+
 
 @lru_cache(1)
 def _charged() -> re.Pattern:
@@ -157,7 +161,9 @@ def _charged() -> re.Pattern:
 
 def _costs(text: str) -> tuple[float, float]:
     """(cost, evidence) of a text."""
-    kinds = _GLUED.sub(" ", text).translate(_CLASS)
+    russian = bool(_RUSSIAN_LETTER.search(text))
+    # nothing is charged inside a stretch of ASCII, so only its ends are looked at
+    kinds = _INSIDE.sub("0", _GLUED.sub(" ", text) if russian else text).translate(_CLASS)
     counts = Counter(kinds)
     small = sum(_ONE[k] * counts[k] for k in _ORDINARY)
     if not _charged().search(kinds):
