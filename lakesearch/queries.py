@@ -219,7 +219,8 @@ def tokenize_terms(spark, folder):
 @query()
 def segment_mixed(spark, folder):
     words = tokens.lexicon_words(table(spark, folder, "lexicon"))
-    return tokens.segmented(table(spark, folder, "crawl_docs").select("doc_id", "title"), "title", "tokens", words)
+    whole = F.concat_ws("\n", "title", "description", "body_text")
+    return tokens.segmented(table(spark, folder, "crawl_docs").select("doc_id", whole.alias("text")), "text", "tokens", words).select("doc_id", "tokens")
 
 
 @query(PAGES + "SELECT term, doc_id, term_freq, positions FROM post")

@@ -98,3 +98,11 @@ def test_registered_queries_hold_chinese_terms(spark, tmp_path):
     assert places(q["postings_mixed"](spark, folder)) == want
     assert q["doc_length_mixed"](spark, folder).agg(F.sum("doc_length")).first()[0] == sum(map(len, want.values()))
     assert q["term_stats_mixed"](spark, folder).count() == q["corpus_stats_mixed"](spark, folder).first().vocabulary_size == len({t for t, _ in want})
+
+
+def test_segment_mixed_covers_whole_pages(spark, tmp_path):
+    spark.createDataFrame(ROWS, DOCS).write.parquet(str(tmp_path / "crawl_docs.parquet"))
+    spark.createDataFrame(WORDS, "word string, freq bigint").write.parquet(str(tmp_path / "lexicon.parquet"))
+    got = {r.doc_id: r.tokens for r in queries.QUERIES["segment_mixed"](spark, str(tmp_path)).collect()}
+    assert got[0][:5] == ["渡船", "guide", "安", "静", "档案馆"] and got[0][-2:] == ["red", "渡船"]
+    assert got[1].count("渡船") == 2 and got[3] == ["渡"] and set(got) == {0, 1, 2, 3}
