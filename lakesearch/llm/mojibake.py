@@ -170,7 +170,7 @@ def _costs(text: str) -> tuple[float, float]:
         return small, 0.0
     letters = Counter(c for c in text.lower() if c in _LETTER) if "c" in kinds or "C" in kinds else None
     strange = sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * letters.total() if letters else 0.0
-    total = max(0.0, strange) if letters and letters.total() > 5 else 0.0
+    total = rare = max(0.0, strange) if letters and letters.total() > 5 else 0.0
     for k, n in counts.items():
         if k in _ONE and k not in _ORDINARY:
             total += _ONE[k] * n
@@ -179,7 +179,8 @@ def _costs(text: str) -> tuple[float, float]:
             # capitals are as good as small letters where they make Russian words
             total += w * n * (0.1 if a + b == "CC" and strange <= 0 else 1)
     couples = 0.5 * len(_COUPLE.findall(kinds))
-    return total + small, total - couples
+    # rare letters of a short Russian text show nothing by themselves
+    return total + small, total - couples if total - couples - rare > 0.01 else 0.0
 
 
 def cost(text: str) -> float:

@@ -53,6 +53,8 @@ def test_repaired(bad, good):
         "本网站使用Cookie和API接口，在iPhone上也可以用App打开",
         "用A用B用C用d用e用f",
         "Gasse | Bäckerei | Größe | Öfen | Körbe | " * 30,
+        "Где южный пруд?",
+        "top музей free музей fast музей online музей",
         "LIGAÇÕES E AÇÃO, CORAÇÃO E NAÇÃO",
         "é" + " é" * 60,
     ],
