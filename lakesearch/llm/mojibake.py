@@ -296,6 +296,8 @@ def _repaired(line: str) -> str | None:
     if shown < GAIN:
         return None
     best, c = search(begin, start)
+    if _RUSSIAN_LETTER.search(best) and not _suspect().search(begin):
+        return None  # Chinese words between spaces, no Russian: its wrong readings hold rarer characters
     # what is saved is counted without the price of the path
     return best if c <= KEEP * start and shown - evidence(best) >= GAIN else None
 

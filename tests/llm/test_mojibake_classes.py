@@ -53,6 +53,7 @@ def test_repaired(bad, good):
         "本网站使用Cookie和API接口，在iPhone上也可以用App打开",
         "用A用B用C用d用e用f",
         "Gasse | Bäckerei | Größe | Öfen | Körbe | " * 30,
+        "温室 fast Ulmcroft, 温室 fast Ravham, 温室 fast Lunenstead, 温室 fast Calanby",
         "Где южный пруд?",
         "top музей free музей fast музей online музей",
         "LIGAÇÕES E AÇÃO, CORAÇÃO E NAÇÃO",
