@@ -1,15 +1,15 @@
 """Pages that are heaps of repeated keywords, links or product tags rather than sentences.
 
-The suffix automaton of a page's token sequence tells, for every place, the longest run of tokens ending there that
+The suffix automaton of every page's token sequence tells, for each place, the longest run of tokens ending there that
 stands elsewhere in the page too: the length of the state's suffix link. The union of these runs are the characters
-covered by repeated maximal substrings. They are set against the characters that stand in clauses: sentences of some
-length that aren't made of such repeats themselves.
+covered by repeated maximal substrings. They are weighed against the characters that stand in clauses, sentences of some
+length that aren't made of such repeats themselves; what is neither, a missing structure, speaks for a heap by a part of
+its size.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, compress
 
@@ -22,9 +22,11 @@ from lakesearch.sources.workers import ship, spread
 
 #: A repeat counts from this many tokens; a Chinese character is half a token.
 LEAST_RUN, LEAST_CLAUSE_RUN = 2.0, 3.0
-#: A page is a heap if at most CLAUSES of its characters are in clauses and at least REPEATS are in repeats, and it has
-#: at least SIZE characters; LINKED replaces CLAUSES where a link comes on at most LINK_CHARS characters.
-CLAUSES, LINKED, REPEATS, SIZE, LINK_CHARS = 0.31, 0.33, 0.1, 130, 40
+#: Weight of a character in a clause against one in a repeat, and of one in neither: LOOSE, or LOOSE_LINKED where a link
+#: comes on at most LINK_CHARS characters.
+CLAUSE, LOOSE, LOOSE_LINKED, LINK_CHARS = 2.0, 0.25, 0.5, 40
+#: Characters in clauses that any page has the credit of: a few repeated words are no evidence yet.
+CREDIT = 38
 #: Sentences made of repeats are no clauses on a page of so poor a vocabulary (different words to words); elsewhere they
 #: are just said twice.
 POOR = 0.3
@@ -46,27 +48,29 @@ def repeat_lengths(tokens: list[str]) -> list[int]:
         new = len(step)
         step.append({})
         length.append(length[last] + 1)
-        link.append(0)
         ends.append(new)
         state = last
-        while state >= 0 and token not in step[state]:
-            step[state][token] = new
-            state = link[state]
-        if state >= 0:
-            target = step[state][token]
-            if length[target] == length[state] + 1:
-                link[new] = target
-            else:
-                # the target stands for longer strings too: part the shorter ones off
-                twin = len(step)
-                step.append(step[target].copy())
-                length.append(length[state] + 1)
-                link.append(link[target])
-                link[target] = link[new] = twin
-                while state >= 0 and step[state].get(token) == target:
-                    step[state][token] = twin
-                    state = link[state]
         last = new
+        while state >= 0 and token not in (out := step[state]):
+            out[token] = new
+            state = link[state]
+        if state < 0:
+            link.append(0)
+            continue
+        target, least = step[state][token], length[state] + 1
+        if length[target] == least:
+            link.append(target)
+            continue
+        # the target stands for longer strings too: part the shorter ones off
+        twin = new + 1
+        step.append(step[target].copy())
+        length.append(least)
+        link.append(twin)
+        link.append(link[target])
+        link[target] = twin
+        while state >= 0 and (out := step[state]).get(token) == target:
+            out[token] = twin
+            state = link[state]
     # a whole beginning that comes again is the longest string of its own state, and then some state links to it
     inner = set(link)
     return [length[s] if s in inner else length[link[s]] for s in ends]
@@ -95,14 +99,6 @@ def _clauses(tokens: list[str], sizes: list[int], repeated: list[bool]) -> int:
     return total
 
 
-def _in_trigrams(tokens: list[str]) -> list[bool]:
-    """Whether a token is in a run of three that occurs again. Every repeat of three tokens or more consists of such."""
-    grams = list(zip(tokens, tokens[1:], tokens[2:], strict=False))
-    count = Counter(grams)
-    flags = [count[g] > 1 for g in grams]
-    return [x or y or z for x, y, z in zip([*flags, False, False], [False, *flags, False], [False, False, *flags], strict=True)] if grams else [False] * len(tokens)
-
-
 def measure(tokens: list[str], sizes: list[int], poor: bool = True) -> tuple[float, float]:
     """(part in repeats, part in clauses) of a page's characters, by its suffix automaton."""
     runs = repeat_lengths(tokens)
@@ -123,26 +119,31 @@ def measure(tokens: list[str], sizes: list[int], poor: bool = True) -> tuple[flo
     return covered / total, _clauses(tokens, sizes, long_runs if poor else [False] * n) / total
 
 
-def is_heap(title: str | None, body: str | None, links: int) -> bool:
-    """Whether a page is a heap of keywords, links or tags. Null and short bodies are none."""
-    if not body or len(body) < SIZE:
-        return False
+def weight(title: str | None, body: str | None, links: int, sure: bool = False) -> float:
+    """Evidence that a page is a heap, less evidence that it isn't, in characters. Null and empty bodies have none. With
+    `sure` a page that clauses alone clear is 0 without its automaton."""
+    if not body:
+        return 0.0
     text = repair_text(body)[0]
     if text.count("�") * 20 > len(text):
-        return False  # lost text has no structure to judge
+        return 0.0  # of lost text neither repeats nor clauses can be told
     tokens = _tokens(f"{title}\n{text}" if title else text)
     sizes = [0 if t == "\n" else len(t) for t in tokens]
     size = sum(sizes)
-    if size < SIZE:
-        return False
+    if not size:
+        return 0.0
     words = [t for t in tokens if t.isalpha()]
     poor = len(set(words)) < POOR * len(words)
-    limit = LINKED if links and size <= LINK_CHARS * links else CLAUSES
-    # trigrams cover whatever long repeats cover: clauses beyond the limit even so leave the automaton nothing to change
-    if _clauses(tokens, sizes, _in_trigrams(tokens) if poor else [False] * len(tokens)) > limit * size:
-        return False
+    if sure and not poor and CLAUSE * _clauses(tokens, sizes, [False] * len(tokens)) >= size:
+        return 0.0  # even if every character were in a repeat, the clauses would outweigh them
     repeats, clauses = measure(tokens, sizes, poor)
-    return clauses <= limit and repeats >= REPEATS
+    loose = LOOSE_LINKED if links and size <= LINK_CHARS * links else LOOSE
+    return (repeats + loose * max(0.0, 1 - repeats - clauses) - CLAUSE * clauses) * size - CLAUSE * CREDIT
+
+
+def is_heap(title: str | None, body: str | None, links: int) -> bool:
+    """Whether a page is a heap of keywords, links or tags."""
+    return weight(title, body, links, sure=True) > 0
 
 
 def heaps(df: DataFrame, record: str, title: str, body: str, outlinks: str) -> DataFrame:
@@ -151,7 +152,7 @@ def heaps(df: DataFrame, record: str, title: str, body: str, outlinks: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             titles, bodies, links = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            keep = [is_heap(t, b, n) for t, b, n in zip(titles, bodies, links, strict=True)]
+            keep = [weight(t, b, n) > 0 for t, b, n in zip(titles, bodies, links, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=[record])
 
     ship(df.sparkSession)
