@@ -26,7 +26,7 @@ LEAST_RUN, LEAST_CLAUSE_RUN = 2.0, 3.0
 #: comes on at most LINK_CHARS characters.
 CLAUSE, LOOSE, LOOSE_LINKED, LINK_CHARS = 2.0, 0.25, 0.5, 40
 #: Characters in clauses that any page has the credit of: a few repeated words are no evidence yet.
-CREDIT = 38
+CREDIT = 42
 #: Sentences made of repeats are no clauses on a page of so poor a vocabulary (different words to words); elsewhere they
 #: are just said twice.
 POOR = 0.3
