@@ -6,11 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lakesearch import problems
 from lakesearch import queries as core
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, SQL = {**core.QUERIES, **problems.QUERIES}, {**core.SQL, **problems.SQL}
+QUERIES, SQL = core.QUERIES, core.SQL
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 
 
