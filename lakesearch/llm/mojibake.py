@@ -2,7 +2,8 @@
 
 A best-first search over states of a text: an edge encodes the text with one encoding and decodes the bytes with
 another, or unescapes character references. States are known by hash and visited once; the queue is ordered by a cost
-of how implausible the characters are side by side, plus a small price per edge. The cheapest state reached is the
+of how implausible the characters are side by side, plus a small price per edge. The search ends at a plain text, or
+when no state is left that isn't dearer than the start by far; it counts no states. The cheapest state reached is the
 answer if it is clearly cheaper than the start. What stays implausible, or holds replacement characters, is affected
 but lost.
 
@@ -27,8 +28,8 @@ from lakesearch.sources.workers import ship, spread
 # Encodings of web pages of the Western, Russian and Chinese languages.
 ENCODINGS = ["cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "gb18030"]
 DECODINGS = ["gb18030", "cp1252", "cp1251", "koi8_r", "mac_roman", "cp866"]
-#: Longest path, price of an edge, and states expanded at most; a path in practice has one or two edges.
-DEPTH, EDGE, EXPANDED = 4, 0.25, 12
+#: Longest path and price of an edge. A state that costs more than SLACK times the start and 4 isn't gone on from.
+DEPTH, EDGE, SLACK = 4, 0.25, 3.0
 #: A repair must leave at most this part of the start's cost, and save at least so much.
 KEEP, GAIN = 0.5, 0.75
 #: Cost per character beyond which unrepaired text counts as lost.
@@ -90,23 +91,36 @@ class _Classes(dict):
 
 
 _CLASS = _Classes()
-_ONE = {"x": 4.0, "Z": 1.2, "k": 1.2, "y": 1.0, "o": 1.2, "B": 2.0, "e": 0.03, "E": 0.12, "g": 0.05, "t": 0.02, "C": 0.02, "b": 0.15}
+_ONE = {"x": 4.0, "Z": 1.2, "k": 1.2, "y": 1.0, "o": 1.2, "B": 2.0, "e": 0.03, "E": 0.12, "g": 0.05, "t": 0.02, "C": 0.02, "b": 0.15, "n": 0.06}
 _TWO = {
     "aE": 3.0, "eE": 2.5, "cE": 3.0, "Ee": 1.2, "EE": 0.5, "ee": 0.5, "ey": 1.5, "Ey": 1.5, "ay": 1.5, "Ay": 1.0, "ya": 1.0, "ye": 1.0, "yE": 1.0, "yy": 1.0,
-    "Eg": 3.0, "eg": 1.5, "ag": 1.0, "Ag": 0.6, "En": 2.5, "Et": 2.0, "et": 0.3, "ty": 1.0, "tg": 0.8, "yt": 1.0, "gy": 0.8, "gE": 0.8, "Eo": 1.5, "eo": 1.5, "oy": 1.0, "oo": 0.5,
+    "Eg": 3.0, "eg": 1.5, "ag": 1.0, "Ag": 0.6, "En": 2.5, "Et": 2.0, "et": 0.3, "tE": 0.4, "eA": 1.0, "ty": 1.0, "tg": 0.8, "yt": 1.0, "gy": 0.8, "gE": 0.8, "Eo": 1.5, "eo": 1.5, "oy": 1.0, "oo": 0.5,
     "cC": 2.5, "Ct": 1.2, "Cg": 1.5, "Cy": 2.0, "Ck": 1.5, "ck": 1.0, "kc": 1.0, "cy": 1.5, "Cn": 0.8, "CC": 0.35,
     "ac": 2.0, "ca": 2.0, "aC": 2.0, "Ca": 1.2, "Ac": 2.0, "cA": 2.0, "AC": 1.5, "CA": 1.5, "ec": 2.0, "ce": 2.0, "eC": 2.0, "Ce": 2.0, "Ec": 2.0, "CE": 2.0, "EC": 2.0,
     "ab": 1.5, "ba": 1.0, "be": 1.5, "eb": 1.5, "by": 1.5, "yb": 1.5, "bg": 1.5, "bE": 1.5, "Eb": 1.5, "Ab": 1.0, "bc": 1.5, "cb": 1.5, "bC": 1.5, "Cb": 1.5, "zb": 1.0,
-    "zk": 1.5, "kz": 1.5, "ze": 1.0, "ez": 1.0, "zE": 1.0, "zc": 1.0, "cz": 1.0, "zC": 1.0, "ea": 0.0, "ao": 0.8, "oa": 0.8, "zy": 0.8, "yz": 0.8, "za": 1.2, "az": 0.6, "sz": 0.3, "zs": 0.3,
+    "zk": 1.5, "kz": 1.5, "ze": 1.0, "ez": 1.0, "zE": 1.0, "zc": 1.0, "cz": 1.0, "zC": 1.0, "ea": 0.0, "ao": 0.8, "oa": 0.8, "af": 1.0, "fa": 1.0, "zy": 0.8, "yz": 0.8, "za": 1.2, "az": 0.6, "sz": 0.3, "zs": 0.3,
 }
 #: Classes whose charge only makes one reading preferred to another.
-_ORDINARY = "eEgtCb"
+_ORDINARY = "eEgtCbn"
 #: Two accented letters of one case, no more, as in "größe" and "AÇÃO": their charge is as ordinary.
 _COUPLE = re.compile("(?<![eE])(?:ee|EE)(?![eE])")
 # Per mille of the letters in Russian text.
 _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.5, 2], strict=True))
 
 
+#: A guillemet that opens before a capital or closes a word: its charge is ordinary.
+_OPENING, _CLOSING = re.compile(r"(?<!\w)«(?=[À-Ý])"), re.compile(r"(?<=[ß-öø-ÿ])»(?!\w)")
+#: A lone Russian letter between Latin words, a lone accented one that is no word, or before a capital.
+_LONE = re.compile(r"(?<=[A-Za-z] )(?:[А-яЁё](?= [A-Za-z])|[^\W\d_a-zA-ZàéèòóáÀÉА-яЁё一-鿿](?= [A-Za-z])|[éèòóá](?= [A-Z]))|^[а-яё](?= \d)")
+#: Quotation marks or brackets inside a word, dashes between small letters, a no-break space where a line begins.
+_INSIDE_WORD = re.compile(
+    r"(?<=[^\W\d_])[“”„•‹›–—]*[“”„•‹›…][“”„•‹›–—]*(?=[^\W\d_])|(?<=[a-zß-ÿ])‘(?=[a-zß-ÿ])|(?<=[a-zß-ÿ])[–—](?=[a-zß-ÿ])|(?<=[a-zß-ÿ][–—“”„])[“”„](?=\W|$)|(?<=[a-zß-ÿ]{2})[‘’](?=[À-Ý])|^\xa0(?=\w)|(?<=[^\W\d_])[\^\[\]{}\\]+(?=[^\W\d_])"
+)
+#: What hardly any Russian word has: ь, ъ or ы after a vowel or at the beginning, three vowels or five consonants in a row,
+#: no vowel at all.
+_NOT_RUSSIAN = re.compile(r"(?:(?<![а-яё])|(?<=[аеёиоуыэюяйьъ]))[ьъы]|[аеёиоуыэюя]{3}|[бвгджзклмнпрстфхцчшщь]{5}|[ьъ][ьъыаоэ]|(?<![а-яё])[бвгджзклмнпрстфхцчшщ]{3,}(?![а-яё])")
+
+
 def _russian_costs() -> dict[str, float]:
     from math import log
 
@@ -143,7 +157,7 @@ def _suspect() -> re.Pattern:
 
 
 #: Where a Latin word runs into a Russian one, as in tags; wrong decoding mixes single letters.
-_GLUED = re.compile(r"(?<=[A-Za-z])(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=[A-Za-z]{3})")
+_GLUED = re.compile(r"(?<=[A-Za-z]{3})(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=[A-Za-z]{3})")
 
 _RUSSIAN_LETTER = re.compile("[а-яА-Я]")
 #: ASCII but control characters, between other ASCII.
@@ -166,11 +180,14 @@ def _costs(text: str) -> tuple[float, float]:
     kinds = _INSIDE.sub("0", _GLUED.sub(" ", text) if russian else text).translate(_CLASS)
     counts = Counter(kinds)
     small = sum(_ONE[k] * counts[k] for k in _ORDINARY)
-    if not _charged().search(kinds):
+    if not _charged().search(kinds) and not _INSIDE_WORD.search(text) and not _LONE.search(text):
         return small, 0.0
     letters = Counter(c for c in text.lower() if c in _LETTER) if "c" in kinds or "C" in kinds else None
     strange = sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * letters.total() if letters else 0.0
     total = rare = max(0.0, strange) if letters and letters.total() > 5 else 0.0
+    if letters:
+        total += 0.8 * len(_NOT_RUSSIAN.findall(text.lower()))
+    total += sum(1.2 * len(x) for x in _INSIDE_WORD.findall(text)) + 0.9 * len(_LONE.findall(text))
     for k, n in counts.items():
         if k in _ONE and k not in _ORDINARY:
             total += _ONE[k] * n
@@ -178,9 +195,9 @@ def _costs(text: str) -> tuple[float, float]:
         if (w := _TWO.get(a + b)) is not None:
             # capitals are as good as small letters where they make Russian words
             total += w * n * (0.1 if a + b == "CC" and strange <= 0 else 1)
-    couples = 0.5 * len(_COUPLE.findall(kinds))
+    total -= 0.5 * len(_COUPLE.findall(kinds)) + _TWO["gE"] * len(_OPENING.findall(text)) + _TWO["eg"] * len(_CLOSING.findall(text))
     # rare letters of a short Russian text show nothing by themselves
-    return total + small, total - couples if total - couples - rare > 0.01 else 0.0
+    return max(0.0, total) + small, total if total - rare > 0.01 else 0.0
 
 
 def cost(text: str) -> float:
@@ -254,12 +271,9 @@ def search(text: str, start: float) -> tuple[str, float]:
     best, best_cost = text, start
     seen = {hash(text)}
     queue: list[tuple[float, int, int, str]] = [(start, 0, 0, text)]
-    number = expanded = 0
-    while queue and expanded < EXPANDED:
+    number = 0
+    while queue:
         at, depth, _, state = heapq.heappop(queue)
-        if depth >= DEPTH or at > 3 * start + 4:
-            continue
-        expanded += 1
         for other in _edges(state):
             if (key := hash(other)) in seen:
                 continue
@@ -267,10 +281,12 @@ def search(text: str, start: float) -> tuple[str, float]:
             c = cost(other) + EDGE * (depth + 1)
             if c < best_cost:
                 best, best_cost = other, c
-            number += 1
-            heapq.heappush(queue, (c, depth + 1, number, other))
-        if best_cost <= EDGE * (depth + 1) + 0.012 * len(best):
-            break  # nothing implausible is left
+            if depth + 1 < DEPTH and c <= SLACK * start + 4:
+                number += 1
+                heapq.heappush(queue, (c, depth + 1, number, other))
+        # nothing implausible is left, or whatever comes costs its path alone more than the best
+        if best_cost <= EDGE * (depth + 1) + 0.012 * len(best) or queue and best_cost <= EDGE * (min(q[1] for q in queue) + 1):
+            break
     return best, best_cost
 
 
@@ -302,9 +318,21 @@ def _repaired(line: str) -> str | None:
     return best if c <= KEEP * start and shown - evidence(best) >= GAIN else None
 
 
-@lru_cache(maxsize=40_000)
+#: Lines up to this length are kept once judged, for sites repeat their short lines; it bounds what a process remembers.
+KEPT = 200
+
+
 def repair(line: str) -> tuple[str, bool]:
     """A line as it should read, and whether it was wrongly decoded (also if it can't be restored)."""
+    return _known(line) if len(line) <= KEPT else _judged(line)
+
+
+@lru_cache(maxsize=40_000)
+def _known(line: str) -> tuple[str, bool]:
+    return _judged(line)
+
+
+def _judged(line: str) -> tuple[str, bool]:
     if _ascii(line) or _start(line)[2] < GAIN:
         return line, False
     if (best := _repaired(line)) is not None:

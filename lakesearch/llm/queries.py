@@ -74,7 +74,7 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
 def _without_residues(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     """`rows` without the pages of problem 1, taken out behind the extraction so that no whole text is joined."""
     gone = materialize(p1_found(spark, folder), "residues")
-    return rows.join(F.broadcast(gone) if gone.count() <= spans.BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    return rows.join(gone, "doc_id", "left_anti")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,6 +111,10 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.pairs(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p10_linked(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.link_counts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -140,7 +144,7 @@ r AS (SELECT n.site, n.line FROM n JOIN p USING (site) WHERE line <> '' GROUP BY
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_articles, p6_found, p6_cleaned, p7_found, p7_kept, p8_ids, p9_packed, p10_found, p10_shared)
+    for f in (p1_found, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_articles, p6_found, p6_cleaned, p7_found, p7_kept, p8_ids, p9_packed, p10_found, p10_linked, p10_shared)
 }
 SQL = {
     "p4_found": TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",

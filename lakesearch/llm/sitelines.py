@@ -1,9 +1,13 @@
 """Lines repeated over one site's pages.
 
-Three passes over the lines, none of which groups a site's rows in one task:
+The texts are read once: each page becomes an array of hashes, one for each line, in the shared folder. Three passes over
+those, none of which groups a site's rows in one task:
 1. per site a mergeable frequent-items summary of line hashes (kept in the JVM, combined map-side);
 2. exact page counts of the summary's candidates only;
-3. the confirmed (site, line) pairs mark or remove the lines.
+3. the confirmed (site, hash) pairs mark or remove the lines.
+
+Lines of one site are told apart by 64-bit hashes. What is joined is written first and carries no broadcast hint, so that
+Spark broadcasts it only below its threshold in bytes.
 """
 
 from __future__ import annotations
@@ -16,8 +20,6 @@ from lakesearch.sources.shared import materialize
 #: Counters of a site's summary. Its error is at most ERROR_FACTOR * (lines of the site) / TRACKED.
 TRACKED = 16384
 ERROR_FACTOR = 3.5
-#: Up to so many candidate or confirmed pairs (about 100 bytes each) are broadcast; beyond it they are joined by shuffle.
-BROADCAST_PAIRS = 200_000
 
 
 def normal_line(line: Column) -> Column:
@@ -25,62 +27,56 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r\\u00A0]+", " ")))
 
 
-def lines(df: DataFrame, record: str, site: Column, body: str) -> DataFrame:
-    """(record, site, line_no, line): non-empty normalised lines, numbered from 1 over all lines."""
-    rows = df.select(F.col(record).alias("record"), site.alias("site"), F.posexplode(F.split(F.col(body), "\n")).alias("at", "raw"))
-    rows = rows.where("site is not null").select("record", "site", (F.col("at") + 1).alias("line_no"), normal_line(F.col("raw")).alias("line"))
-    return rows.where("line <> ''")
+def line_hash(line: Column) -> Column:
+    """Hash of a normalised line, null for a blank one."""
+    return F.transform(F.array(normal_line(line)), lambda x: F.when(x != "", F.xxhash64(x)))[0]
 
 
-def _sized(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once, with a broadcast hint if its counted rows are few enough."""
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
+def hashed(df: DataFrame, record: str, site: Column, body: str) -> DataFrame:
+    """(record, site, lines): the line hashes of each page with record, site and body, in order, null for blank lines."""
+    rows = df.select(F.col(record).alias("record"), site.alias("site"), F.col(body).alias("body")).where("record is not null and site is not null and body is not null")
+    return materialize(rows.select("record", "site", F.transform(F.split("body", "\n"), line_hash).alias("lines")), "lines")
 
 
-def repeated(df: DataFrame, record: str, site: Column, body: str, least_pages: int = 4, percent: int = 5) -> DataFrame:
-    """(site, line, pages) of the lines in at least `least_pages` pages and `percent` of their site's pages.
+def repeated(pages: DataFrame, least_pages: int = 4, percent: int = 5) -> DataFrame:
+    """(site, h, n_pages) of the lines of `hashed` pages in at least `least_pages` pages and `percent` of their site's.
 
     The summary never misses such a line while its error stays below the limit; sites of so many lines a page that it
     might not (checked per site from exact sums) are counted exactly as a whole instead.
     """
-    page = df.where(F.col(record).isNotNull() & site.isNotNull() & F.col(body).isNotNull())
-    # one entry per page and distinct line: hashes only, no text moves
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.col(body), "\n"), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    entries = page.select(F.col(record).alias("record"), site.alias("site"), hashes.alias("hashes"))
-    sites = entries.groupBy("site").agg(F.countDistinct("record").alias("pages"), F.sum(F.size("hashes")).alias("n_lines"))
-    summary = entries.select("site", F.explode("hashes").alias("h")).groupBy("site").agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("summary"))
+    distinct = F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))
+    sites = pages.groupBy("site").agg(F.countDistinct("record").alias("pages"), F.sum(F.size(distinct)).alias("n_lines"))
+    # a site of fewer pages can have no such line
+    sites = materialize(sites.where(F.col("pages") >= least_pages), "sites")
+    entries = pages.join(sites.select("site"), "site", "left_semi").select("record", "site", F.explode(distinct).alias("h"))
+    summary = entries.groupBy("site").agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("summary"))
     limit = F.greatest(F.lit(least_pages).cast("double"), F.col("pages") * F.lit(percent / 100))
-    known = summary.join(sites, "site").select("site", "pages", limit.alias("limit"), (F.col("n_lines") * F.lit(ERROR_FACTOR / TRACKED) < limit).alias("sure"), "summary")
-    found = known.select("site", "sure", "limit", F.explode(F.expr(f"approx_top_k_estimate(summary, {TRACKED})")).alias("x"))
+    sure = F.col("n_lines") * F.lit(ERROR_FACTOR / TRACKED) < limit
+    known = summary.join(sites.where(sure), "site").select("site", limit.alias("limit"), F.explode(F.expr(f"approx_top_k_estimate(summary, {TRACKED})")).alias("x"))
     # estimates are upper bounds, so a line at the limit always stays
-    candidates = found.where("sure and x.count >= limit - 1e-6").select("site", F.col("x.item").alias("h"))
-    candidates = _sized(candidates, "candidates")
-    sites = materialize(sites, "sites")
-    unsure = sites.where(F.col("n_lines") * F.lit(ERROR_FACTOR / TRACKED) >= limit).select("site")
-    rows = lines(page, record, site, body).withColumn("h", F.xxhash64("line"))
-    checked = rows.join(candidates, ["site", "h"], "left_semi")
-    if unsure.limit(1).count():
-        checked = checked.unionByName(rows.join(F.broadcast(unsure) if unsure.count() <= BROADCAST_PAIRS else unsure, "site", "left_semi"))
-    exact = checked.groupBy("site", "line", "record").agg(F.lit(1).alias("one")).groupBy("site", "line").agg(F.count("one").alias("n_pages"))
-    confirmed = exact.join(sites, "site").where((F.col("n_pages") >= least_pages) & (F.col("n_pages") * 100 >= F.col("pages") * percent))
-    return confirmed.select("site", "line", "n_pages")
+    candidates = materialize(known.where("x.count >= limit - 1e-6").select("site", F.col("x.item").alias("h")), "candidates")
+    checked = entries.join(candidates, ["site", "h"], "left_semi")
+    if sites.where(~sure).limit(1).count():
+        checked = checked.unionByName(entries.join(sites.where(~sure).select("site"), "site", "left_semi"))
+    exact = checked.groupBy("site", "h", "record").agg(F.lit(1).alias("one")).groupBy("site", "h").agg(F.count("one").alias("n_pages"))
+    return exact.join(sites, "site").where((F.col("n_pages") >= least_pages) & (F.col("n_pages") * 100 >= F.col("pages") * percent)).select("site", "h", "n_pages")
 
 
 def found(df: DataFrame, record: str, site: Column, body: str, **limits: int) -> DataFrame:
-    """(record, line_no) of every line that `repeated` confirms."""
-    confirmed = _sized(repeated(df, record, site, body, **limits).select("site", "line"), "confirmed")
-    page = df.where(F.col(record).isNotNull() & site.isNotNull() & F.col(body).isNotNull())
-    return lines(page, record, site, body).join(confirmed, ["site", "line"], "left_semi").select("record", "line_no")
+    """(record, line_no) of every line that `repeated` confirms; lines count from 1, blank ones included."""
+    pages = hashed(df, record, site, body)
+    confirmed = materialize(repeated(pages, **limits).select("site", "h"), "confirmed")
+    rows = pages.select("record", "site", F.posexplode("lines").alias("at", "h")).where("h is not null")
+    return rows.join(confirmed, ["site", "h"], "left_semi").select("record", (F.col("at") + 1).alias("line_no"))
 
 
 def cleaned(df: DataFrame, record: str, site: Column, body: str, **limits: int) -> DataFrame:
     """(record, body) with the confirmed lines taken out; records without url or body come out as they are.
 
-    Lines and their order are otherwise kept, blank lines too. Confirmed lines reach a page as its site's array, whose
-    size is bounded: a site has at most (lines a page) * 100 / percent of them.
+    Lines and their order are otherwise kept, blank lines too. Confirmed lines reach a page as its site's array of hashes,
+    whose size is bounded: a site has at most (lines a page) * 100 / percent of them.
     """
-    confirmed = repeated(df, record, site, body, **limits).groupBy(F.col("site").alias("_site")).agg(F.collect_set("line").alias("_gone"))
-    rows = df.select(F.col(record), site.alias("_site"), F.col(body)).join(_sized(confirmed, "confirmed"), "_site", "left")
-    kept = F.filter(F.split(F.col(body), "\n"), lambda x: ~F.array_contains(F.col("_gone"), normal_line(x)))
+    confirmed = repeated(hashed(df, record, site, body), **limits).groupBy(F.col("site").alias("_site")).agg(F.collect_set("h").alias("_gone"))
+    rows = df.select(F.col(record), site.alias("_site"), F.col(body)).join(materialize(confirmed, "confirmed"), "_site", "left")
+    kept = F.filter(F.split(F.col(body), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x)), F.lit(False)))
     return rows.select(record, F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n")).alias(body))

@@ -9,7 +9,8 @@ for the maximal span. Windows of many texts (page furniture, say) are not paired
 around them are hashed and counted instead, and only texts that agree on a whole such window meet.
 
 Equal texts are one text with many records throughout; pairs are expanded to records at the end.
-Texts are known by 64-bit hashes; two different texts of one hash would be taken for copies.
+Texts are known by 64-bit hashes; two different texts of one hash would be taken for copies. What is joined is written
+first and carries no broadcast hint, so that Spark broadcasts it only below its threshold in bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from lakesearch.sources.workers import ship, spread
 LEAST = 120
 #: A kept window in more rows than this is verified by whole windows instead of by pairs.
 HOT = 40
-#: Up to so many rows of at most 32 bytes are broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 300_000
 
 _BASE = 0x9E3779B97F4A7C15
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -117,14 +116,9 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
     return spread(texts.select("doc", "key", "text")).mapInArrow(run, "h bigint, key bigint, doc bigint, at int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is counted small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _of_docs(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, text) of the listed docs: a text moves only if its doc is listed."""
-    return texts.select("doc", "text").join(_small(materialize(docs.distinct(), "docs")), "doc", "left_semi")
+    return texts.select("doc", "text").join(materialize(docs.distinct(), "docs"), "doc", "left_semi")
 
 
 def _cold(hits: DataFrame, texts: DataFrame, least: int, whole: bool) -> DataFrame:
@@ -149,7 +143,7 @@ def _cold(hits: DataFrame, texts: DataFrame, least: int, whole: bool) -> DataFra
     else:
         on = ["doc", "at"]
         places = materialize(wanted.groupBy("doc").agg(F.collect_set("at").alias("places")), "places")
-        pool = texts.select("doc", "text").join(_small(places), "doc").select("doc", "text", F.explode("places").alias("at"))
+        pool = texts.select("doc", "text").join(places, "doc").select("doc", "text", F.explode("places").alias("at"))
         base = F.greatest(F.lit(0), F.col("at") - reach)
         pool = pool.select("doc", "at", base.alias("base"), F.substr("text", base + 1, F.col("at") - base + k + reach).alias("text"))
     full = pairs
@@ -211,7 +205,7 @@ def _hot(hits: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     rows = pool.select("doc", "key", "text", "places").mapInArrow(run, "h bigint, key bigint, doc bigint, start bigint, before bigint")
     rows = materialize(rows, "windows")
     again = rows.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h")
-    return rows.join(_small(materialize(again, "again")), "h", "left_semi")
+    return rows.join(materialize(again, "again"), "h", "left_semi")
 
 
 def _found(df: DataFrame, record: str, text: str, least: int, hot: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -220,33 +214,47 @@ def _found(df: DataFrame, record: str, text: str, least: int, hot: int, whole: b
     anchors = materialize(_anchors(texts, least), "anchors")
     again = anchors.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     again = materialize(again.select("h", (F.col("n") > hot).alias("hot")), "repeated")
-    hits = anchors.join(_small(again), "h").groupBy("h", "hot", "key", "at").agg(F.min("doc").alias("doc"))
+    hits = anchors.join(again, "h").groupBy("h", "hot", "key", "at").agg(F.min("doc").alias("doc"))
     hits = materialize(hits, "hits")
     cold = materialize(_cold(hits.where("not hot"), texts, least, whole), "spans")
     return texts, cold, materialize(_hot(hits.where("hot"), texts, least), "hotwindows") if hits.where("hot").limit(1).count() else None
 
 
-def pairs(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: records whose texts share a span of at least `least` code points, each pair once.
+def linked(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (doc, key) with the class of each record, its text's hash, and (key_a, key_b), key_a < key_b, of
+    classes whose texts share a span of at least `least` code points, each pair once.
 
-    Null texts and texts shorter than `least` are in no pair; two records of one text of that length are a pair. A
-    repeated row (same record id) is the same record.
+    Null texts and texts shorter than `least` are in no class. A repeated row (same record id) is the same record.
     """
     texts, cold, windows = _found(df, record, text, least, hot, whole=False)
-    met = cold.select("key_a", "key_b", "doc_a", "doc_b")
+    met = cold.select("key_a", "key_b")
     if windows is not None:
-        a, b = (windows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "doc", "before")]) for x in "ab")
+        a, b = (windows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "before")]) for x in "ab")
         starts = (F.col("before_a") != F.col("before_b")) | (F.col("before_a") == -1)
-        met = met.union(a.join(b, "h").where((F.col("key_a") < F.col("key_b")) & starts).select(*met.columns))
-    met = materialize(met.distinct(), "met")
-    members = texts.select("key", "doc").distinct()
-    classes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "classes")
-    copies = materialize(members.join(_small(classes), "key", "left_semi"), "copies")
+        met = met.union(a.join(b, "h").where((F.col("key_a") < F.col("key_b")) & starts).select("key_a", "key_b"))
+    return materialize(texts.select("doc", "key").distinct(), "members"), materialize(met.distinct(), "met")
+
+
+def link_counts(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, n_links) of every record in a class: the least record of its text, and how many other records
+    share a span with it. No pair of records is built: a class counts with its size."""
+    members, met = linked(df, record, text, least, hot)
+    classes = materialize(members.groupBy("key").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    both = met.union(met.select("key_b", "key_a")).toDF("key", "other")
+    reached = both.join(classes.select(F.col("key").alias("other"), "n"), "other").groupBy("key").agg(F.sum("n").alias("reached"))
+    per_class = classes.join(reached, "key", "left").select("key", "class_id", (F.coalesce("reached", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return members.join(per_class, "key").select(F.col("doc").alias("doc_id"), "class_id", "n_links")
+
+
+def pairs(df: DataFrame, record: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: the classes' links expanded to records, and the records of one class to pairs."""
+    members, met = linked(df, record, text, least, hot)
     for x in "ab":
-        met = met.join(copies.select(F.col("key").alias(f"key_{x}"), F.col("doc").alias(f"copy_{x}")), f"key_{x}", "left")
-        met = met.withColumn(f"doc_{x}", F.coalesce(f"copy_{x}", f"doc_{x}"))
+        met = met.join(members.select(F.col("key").alias(f"key_{x}"), F.col("doc").alias(f"doc_{x}")), f"key_{x}")
     ends = [F.col("doc_a"), F.col("doc_b")]
     across = met.select(F.least(*ends).alias("doc_id_a"), F.greatest(*ends).alias("doc_id_b"))
+    copied = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "copied")
+    copies = members.join(copied, "key", "left_semi")
     inner = copies.select("key", F.col("doc").alias("doc_id_a")).join(copies.select("key", F.col("doc").alias("doc_id_b")), "key")
     return across.union(inner.where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b"))
 

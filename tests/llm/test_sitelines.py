@@ -63,11 +63,6 @@ def test_found_and_cleaned(spark, monkeypatch, tracked):
         assert clean[d] == kept
 
 
-def test_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(sitelines, "BROADCAST_PAIRS", 0)
-    rows = pages(5)
-    df = spark.createDataFrame(rows, "doc_id bigint, url string, body string")
-    assert {tuple(r) for r in sitelines.found(df, "doc_id", site(), "body").collect()} == brute(rows)
 
 
 def test_nothing(spark):
