@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.sources.workers import ship
 
+# The patterns of tokens.
 #: A Latin token: letters and digits, with points inside.
 LATIN = r"[a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*"
 #: A run of Chinese characters.
