@@ -40,30 +40,43 @@ def suggestions(stats: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
 def nearest(words: DataFrame, stats: DataFrame) -> DataFrame:
     """(word, term): for each word the nearest term within 2 edits, the first seen of equally near ones.
 
-    `stats` has (term, first_doc, first_pos). Two words within 2 edits agree on one of three equal parts of the
-    shorter, give or take two places; joining on such a part spares comparing every pair.
+    `stats` has (term, first_doc, first_pos). Two words within 2 edits have a string in common after at most two
+    deletions from each, so words are joined by the hashes of what their deletions leave; long words, of which there
+    would be too many, by one of three parts that two edits leave whole.
     """
     w = words.select("word").distinct()
-    a = w.select("word", F.explode(_parts(F.col("word"), True)).alias("part"))
-    b = stats.select("term", "first_doc", "first_pos", F.explode(_parts(F.col("term"), False)).alias("part"))
-    near = a.join(b, "part").where(F.abs(F.length("word") - F.length("term")) <= 2).dropDuplicates(["word", "term"])
+    a = w.select("word", F.explode(_near_keys(F.col("word"), True)).alias("key"))
+    b = stats.select("term", "first_doc", "first_pos", F.explode(_near_keys(F.col("term"), False)).alias("key"))
+    near = a.join(b, "key").where(F.abs(F.length("word") - F.length("term")) <= 2)
     near = near.withColumn("d", F.levenshtein("word", "term", 2)).where("d >= 0")
     return near.groupBy("word").agg(F.min_by("term", F.struct("d", "first_doc", "first_pos")).alias("term"))
 
 
-def _parts(x: Column, probe: bool) -> Column:
-    """Keys of which two strings within two edits share one: three disjoint parts of equal length of the probe, one of
-    which two edits leave whole, against all substrings that the other could share with it; strings too short for three
-    parts share one key."""
+#: Words up to SHORT characters have deletion keys, from LONG on part keys: of two words within 2 edits both are short or
+#: both are long.
+SHORT, LONG = 22, 19
+
+
+def _near_keys(x: Column, probe: bool) -> Column:
+    """Hashed keys of which two strings within two edits share one."""
     n = F.length(x)
+
+    def shorter(y: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(y)))
+        return F.transform(places, lambda i: F.concat(F.substr(y, F.lit(1), i - 1), F.substr(y, i + 1)))
+
+    none = F.array().cast("array<string>")
+    one = F.array_distinct(shorter(x))
+    left = F.array_distinct(F.concat(F.array(x), one, F.flatten(F.transform(one, shorter))))
+    # the parts of a probe against every place where two edits may have moved them
+    k = F.floor((n - 2) / 3).cast("int")
     if probe:
-        k = F.greatest(F.lit(1), F.floor((n - 2) / 3).cast("int"))
         parts = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.concat(k.cast("string"), F.lit(":"), F.substr(x, i * k + 1, k)))
     else:
-        sizes = F.transform(F.sequence(F.greatest(F.lit(1), F.floor((n - 4) / 3).cast("int")), F.greatest(F.lit(1), F.floor(n / 3).cast("int"))), lambda k: k)
-        parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - k)), lambda i: F.concat(k.cast("string"), F.lit(":"), F.substr(x, i + 1, k)))))
-    short = F.array(F.lit("short"))
-    return F.array_distinct(F.concat(parts, F.when(n <= (2 if probe else 4), short).otherwise(F.array().cast("array<string>"))))
+        sizes = F.sequence(F.floor((n - 4) / 3).cast("int"), F.floor(n / 3).cast("int"))
+        parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat(k.cast("string"), F.lit(":"), F.substr(x, i + 1, k)))))
+    keys = F.concat(F.when(n <= SHORT, left).otherwise(none), F.when(n >= LONG, parts).otherwise(none))
+    return F.array_distinct(F.transform(keys, lambda s: F.xxhash64(s)))
 
 
 def corrected(queries: DataFrame, stats: DataFrame) -> DataFrame:

@@ -113,6 +113,21 @@ def segmented(df: DataFrame, text: str, out: str, words: list[tuple[str, int | N
     return df.withColumn(out, cut.asNondeterministic()(F.col(text)))
 
 
+# Log probabilities of a run's first tag and of each tag after another, of begin, middle, end and single.
+HMM_START = {"B": -0.2668, "S": -0.7165}
+HMM_MOVE = {"B": {"M": -0.9322, "E": -0.5548}, "M": {"M": -0.8872, "E": -0.5764}, "E": {"B": -0.3748, "S": -1.2652}, "S": {"B": -0.5195, "S": -0.9206}}
+
+
+def trained_emissions(words: Iterable[tuple[str, int | None]]) -> dict[str, dict[str, float]]:
+    """Log probabilities of characters under each tag, from a dictionary's words weighted by their frequency (null: 1)."""
+    sums: dict[str, dict[str, int]] = {t: {} for t in "BMES"}
+    for word, freq in words:
+        tags = "S" if len(word) == 1 else "B" + "M" * (len(word) - 2) + "E"
+        for tag, c in zip(tags, word, strict=bool(word)):
+            sums[tag][c] = sums[tag].get(c, 0) + (freq or 1)
+    return {t: {c: math.log(n / sum(own.values())) for c, n in own.items()} for t, own in sums.items()}
+
+
 def viterbi_cut(run: str, start: dict[str, float], move: dict[str, dict[str, float]], emit: dict[str, dict[str, float]], unseen: float = -math.log(65536)) -> list[str]:
     """Words of a run by the likeliest begin/middle/end/single tagging, all arguments log probabilities. An opt-in for
     text without a dictionary; `Segmenter` never needs it, for each of its words is in the dictionary or one character."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions import urls
+from lakesearch.operators.ranking import ranked
 
 # Content types of pages.
 PAGE_TYPES = ["text/html", "text/plain", "application/xhtml+xml"]
@@ -32,9 +33,9 @@ def fresh(entries: DataFrame, order: list[Column], seen: DataFrame | None = None
 
 def scheduled(entries: DataFrame, order: list[Column], delay: float = 1.0) -> DataFrame:
     """Entries with `slot`, their place in their domain's queue from 0, and `start_s`, the second at which politeness
-    lets them go."""
-    place = F.row_number().over(Window.partitionBy("domain").orderBy(*order)) - 1
-    return entries.withColumn("slot", place).withColumn("start_s", F.col("slot") * F.lit(float(delay)))
+    lets them go. A null domain is one queue. Ranks come from one global sort, so no task holds a domain's queue."""
+    placed = ranked(entries, F.coalesce("domain", F.lit("")), order, entries.columns).withColumnRenamed("rank", "slot")
+    return placed.withColumn("start_s", F.col("slot") * F.lit(float(delay)))
 
 
 def wave(entries: DataFrame, order: list[Column], budget: int) -> DataFrame:

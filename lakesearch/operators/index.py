@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions.tokens import latin_tokens, segmented
+from lakesearch.operators.ranking import ranked
 
 
 def assembled(df: DataFrame, words: Sequence[tuple[str, int | None]] | None = ()) -> DataFrame:
@@ -71,12 +73,33 @@ def without(post: DataFrame, gone: DataFrame) -> DataFrame:
     return post.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def upsert(docs: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The last row of each key in `order`; rows of a null key are all kept."""
+def upsert(docs: DataFrame, key: Column, newest: list[Column]) -> DataFrame:
+    """The row of each key that is greatest by `newest`, nulls least; rows of a null key are all kept. The row is found by
+    partial aggregation, so a key with any number of versions is no hot spot."""
     rows = docs.withColumn("_key", key)
-    last = Window.partitionBy("_key").orderBy(*order)
-    latest = rows.where("_key is not null").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-    return latest.unionByName(rows.where("_key is null")).drop("_key")
+    last = F.max_by(F.struct(*docs.columns), F.struct(*newest))
+    latest = rows.where("_key is not null").groupBy("_key").agg(last.alias("_row")).select("_row.*")
+    return latest.unionByName(rows.where("_key is null").drop("_key"))
+
+
+def with_ids(docs: DataFrame, order: list[Column]) -> DataFrame:
+    """Documents that have no doc_id get the ids behind the greatest one, dense, in `order` (ascending, total on distinct
+    rows); given ids stay."""
+    known = docs.where("doc_id is not null")
+    base = known.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
+    rest = [c for c in docs.columns if c != "doc_id"]
+    new = ranked(docs.where("doc_id is null"), F.lit(0), order, rest)
+    return known.unionByName(new.withColumn("doc_id", F.col("rank") + F.lit(base)).select(*docs.columns))
+
+
+def document(docs: DataFrame, doc_id: int) -> DataFrame:
+    """The document of an id: one row, or none."""
+    return docs.where(F.col("doc_id") == doc_id)
+
+
+def listing(docs: DataFrame, page: int = 1, size: int = 10) -> tuple[DataFrame, int]:
+    """(a page as `listed` gives it, number of all documents)."""
+    return listed(docs, page, size), docs.count()
 
 
 def listed(docs: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
@@ -96,9 +119,27 @@ def save(spark: SparkSession, path: str, version: str, **tables: DataFrame) -> N
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    return spark.read.schema("version string").json(f"{path}/current").first().version
+
+
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/current").first().version
-    return spark.read.parquet(f"{path}/{version}/{name}")
+    return spark.read.parquet(f"{path}/{current_version(spark, path)}/{name}")
+
+
+def merged(spark: SparkSession, path: str, version: str, docs: DataFrame, post: DataFrame, key: str = "url") -> None:
+    """Publish a version of a saved index with `docs` and their `post`: documents replace those of the same `key`, whose
+    postings go with them. A first version is just saved."""
+    jvm = spark.sparkContext._jvm
+    current = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(current):
+        if current_version(spark, path) == version:
+            return  # published before a failure
+        old_docs, old_post = load(spark, path, "documents"), load(spark, path, "postings")
+        gone = reduce(DataFrame.union, [old_docs.join(docs.select(c).distinct(), c, "left_semi").select("doc_id") for c in (key, "doc_id")]).distinct()
+        docs = old_docs.join(gone, "doc_id", "left_anti").unionByName(docs)
+        post = without(old_post, gone).unionByName(post)
+    save(spark, path, version, documents=docs, postings=post)
 
 
 class Snapshot:

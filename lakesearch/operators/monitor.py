@@ -34,6 +34,24 @@ def task_history(tasks: DataFrame, limit: int = 100) -> DataFrame:
     return tasks.orderBy(F.desc("started_at"), "id").limit(limit)
 
 
+def recorded(history: DataFrame, task: DataFrame, keep: int = 100) -> DataFrame:
+    """The history with a finished task in front, the newest `keep` kept; a task recorded again replaces its row."""
+    return task_history(history.join(task.select("id").distinct(), "id", "left_anti").select(*task.columns).unionByName(task), keep)
+
+
+def downloads(fetches: DataFrame) -> DataFrame:
+    """One row (requests, success, errors, robots_blocked) of all fetches, repeated rows counted once: pages that came with
+    status 200 and no error, addresses that robots rules forbade, and all else."""
+    rows = fetches.dropDuplicates(["fetch_id"])
+    error = F.lower(F.coalesce("error", F.lit("")))
+    blocked, fine = error.contains("robots"), (F.col("status") == 200) & (error == "")
+
+    def n(x: Column) -> Column:
+        return F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0))
+
+    return rows.agg(F.count(F.lit(1)).alias("requests"), n(fine).alias("success"), n(~fine & ~blocked).alias("errors"), n(blocked).alias("robots_blocked"))
+
+
 def log_tail(lines: DataFrame, level: str | None, last: int) -> DataFrame:
     """The last `last` (10 to 500) lines (line_no, value), of a level only if one is given."""
     if level:

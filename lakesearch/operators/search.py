@@ -8,12 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesearch.functions import text, urls
-from lakesearch.operators.index import doc_lengths
-from lakesearch.plans.query import QuerySpec
+from lakesearch.operators.index import doc_lengths, load
+from lakesearch.plans.query import QuerySpec, clamp, latin, parse
+from lakesearch.sources.shared import materialize
 
 #: Scored results kept at most; unscored lists are whole.
 SCORED = 1000
@@ -33,9 +34,24 @@ class Index:
     """`docs` (doc_id, url, title, description, body_text, title_tokens, desc_tokens, authority, fetch_time) and
     `post` (term, doc_id, term_freq, positions), one row each per document and per term in a document."""
 
-    def __init__(self, docs: DataFrame, post: DataFrame, lengths: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, post: DataFrame, lengths: DataFrame | None = None, size: tuple[int, float] | None = None):
         self.docs, self.post = docs, post
         self.lengths = lengths if lengths is not None else doc_lengths(post)
+        if size is not None:
+            self.size = size
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
+        """An index that `index.save` wrote with its documents (or those given), postings, lengths and corpus row: a query reads the row groups
+        of its terms and aggregates nothing over the index."""
+        size = load(spark, path, "corpus").first()
+        return cls(docs if docs is not None else load(spark, path, "documents"), load(spark, path, "postings"), load(spark, path, "lengths"), (size.total_docs, size.mean_length))
+
+    def tables(self) -> dict[str, DataFrame]:
+        """What `open` reads beside the documents, for `index.save`."""
+        n, mean = self.size
+        corpus = self.docs.sparkSession.createDataFrame([(n, mean)], "total_docs bigint, mean_length double")
+        return {"postings": self.post, "lengths": self.lengths, "corpus": corpus}
 
     @cached_property
     def size(self) -> tuple[int, float]:
@@ -127,15 +143,66 @@ class Index:
         total = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.sum("score").alias("score")) if len(parts) > 1 else parts[0]
         return total.orderBy(F.desc("score"), "doc_id").limit(SCORED)
 
-    def results(self, spec: QuerySpec, page: int = 1, size: int = 10, weights: Weights = Weights(), now: float = 0.0) -> DataFrame:
-        """One page of (doc_id, url, title, snippet, score, authority), texts fetched for that page alone."""
-        hits = self.ranked(spec, weights, now).offset((page - 1) * size).limit(size)
-        rows = self.docs.select("doc_id", "url", "title", "description", "body_text", "authority").join(F.broadcast(hits), "doc_id")
+    def _shown(self, hits: DataFrame, spec: QuerySpec) -> DataFrame:
+        """(doc_id, url, title, snippet, score, authority, word_count) of a page of hits; texts are fetched for it alone."""
+        count = "word_count" if "word_count" in self.docs.columns else F.lit(None).cast("int").alias("word_count")
+        rows = self.docs.select("doc_id", "url", "title", "description", "body_text", "authority", count).join(F.broadcast(hits), "doc_id")
         shown = F.coalesce(F.nullif("title", F.lit("")), "url")
         body = F.coalesce(F.nullif("body_text", F.lit("")), "description")
         snippet = text.highlighted(text.snippet_window(body, spec.terms), spec.terms)
+        return rows.select("doc_id", "url", shown.alias("title"), snippet.alias("snippet"), "score", "authority", "word_count")
+
+    def results(self, spec: QuerySpec, page: int = 1, size: int = 10, weights: Weights = Weights(), now: float = 0.0) -> DataFrame:
+        """One page of (doc_id, url, title, snippet, score, authority), best first."""
+        page, size = clamp(page, size)
+        hits = self.ranked(spec, weights, now).offset((page - 1) * size).limit(size)
         order = (F.desc("score"), F.asc("doc_id")) if spec.terms else (F.desc("doc_id"),)
-        return rows.select("doc_id", "url", shown.alias("title"), snippet.alias("snippet"), "score", "authority").orderBy(*order)
+        return self._shown(hits, spec).drop("word_count").orderBy(*order)
+
+    def answer(self, query: str, page: int = 1, size: int = 10, weights: Weights = Weights(), now: float = 0.0) -> DataFrame:
+        """One row (query, total, page, page_size, suggestion, results): results as the API lists them, best first, of all
+        that were ranked; the suggestion is a corrected query, null unless nothing was found and something is nearer."""
+        page, size = clamp(page, size)
+        spec = parse(query)
+        ranked = materialize(self.ranked(spec, weights, now).withColumn("at", F.monotonically_increasing_id()), "ranked")
+        hits = self._shown(ranked.orderBy("at").offset((page - 1) * size).limit(size).drop("at"), spec)
+        order = [F.desc("score"), F.asc("doc_id")] if spec.terms else [F.desc("doc_id")]
+        listed = hits.select(F.struct(F.row_number().over(Window.orderBy(*order)).alias("at"), F.struct("title", "url", "snippet", F.round("score", 4).alias("score"), "word_count").alias("hit")).alias("x"))
+        results = listed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.hit).alias("results"))  # a page: at most 50 rows
+        total = ranked.count()
+        better = None if total else self.suggestion(query)
+        head = [F.lit(query).alias("query"), F.lit(total).cast("bigint").alias("total"), F.lit(page).alias("page"), F.lit(size).alias("page_size"), F.lit(better).cast("string").alias("suggestion")]
+        return results.select(*head, "results")
+
+    def suggestion(self, query: str) -> str | None:
+        """The query with each unknown word replaced by its nearest term, null if nothing changes."""
+        words = latin(query)
+        if not words:
+            return None
+        spark = self.docs.sparkSession
+        asked = spark.createDataFrame([(0, words)], "query_id int, tokens array<string>")
+        return text.corrected(asked, self.vocabulary()).first().corrected
+
+    def vocabulary(self) -> DataFrame:
+        """(term, df, first_doc, first_pos) of the index."""
+        first = F.min(F.struct("doc_id", F.coalesce(F.array_min("positions"), F.lit(0)).alias("pos")))
+        rows = self.post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), first.alias("f"))
+        return rows.select("term", "df", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"))
+
+    def postings_of(self, term: str) -> DataFrame:
+        """(doc_id, term_freq, positions) of a term: a scan of few row groups where the postings are saved by term."""
+        return self.post.where(F.col("term") == term).select("doc_id", "term_freq", "positions")
+
+    def length_of(self, doc_id: int) -> DataFrame:
+        """(doc_length) of a document, one row or none."""
+        return self.lengths.where(F.col("doc_id") == doc_id).select("doc_length")
+
+
+def external_suggestions(hits: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
+    """(term) of the title tokens of an external server's hits (rank, title_tokens) that begin with a prefix, each once in
+    the order met."""
+    rows = hits.select("rank", F.posexplode("title_tokens").alias("at", "term")).where(F.lower("term").startswith(prefix.strip().lower()) & (F.lit(bool(prefix.strip()))))
+    return rows.groupBy("term").agg(F.min(F.struct("rank", "at")).alias("met")).orderBy("met").limit(limit).select("term")
 
 
 def _places(terms: list[str]) -> dict[str, list[int]]:

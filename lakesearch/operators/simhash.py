@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +33,25 @@ def near_classes(prints: DataFrame, distance: int = 3) -> tuple[DataFrame, DataF
     """(members, links): (doc_id, class_id) with class_id the least doc_id of a fingerprint, and (class_a, class_b, distance)
     between fingerprints that differ in 1 to `distance` bits, class_a < class_b. Zero and null fingerprints are left out.
 
-    Exact: fingerprints within d bits agree on one of d + 1 bands, so equal bands are joined and verified. Equal
-    fingerprints are one class, so a group of copies costs one row in the join.
+    Exact: the 64 bits are cut into d + 3 blocks, of which d differing bits leave three whole, so two such fingerprints
+    agree on one of the choices of three blocks (20 for d = 3). Each choice is a key of some 32 bits, so that few others
+    share it, and what does is verified. Equal fingerprints are one class: a group of copies costs one row in the join.
     """
     rows = prints.where("simhash is not null and simhash <> 0").select("doc_id", "simhash")
     classes = rows.groupBy("simhash").agg(F.min("doc_id").alias("class_id"))
     members = rows.join(classes, "simhash").select("doc_id", "class_id")
-    bands, width = distance + 1, 64 // (distance + 1)
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << (width if i < bands - 1 else 64 - i * width)) - 1)).alias("bits")) for i in range(bands)])
-    banded = classes.select("class_id", "simhash", F.explode(keys).alias("k")).select("class_id", "simhash", "k.band", "k.bits")
-    a = banded.select("band", "bits", F.col("class_id").alias("class_a"), F.col("simhash").alias("hash_a"))
-    b = banded.select("band", "bits", F.col("class_id").alias("class_b"), F.col("simhash").alias("hash_b"))
+    blocks = distance + 3
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+
+    def part(i: int):
+        return F.shiftrightunsigned("simhash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+
+    keys = F.array(*[F.xxhash64(F.lit(n), *map(part, chosen)) for n, chosen in enumerate(combinations(range(blocks), 3))])
+    keyed = classes.select("class_id", "simhash", F.explode(keys).alias("key"))
+    a = keyed.select("key", F.col("class_id").alias("class_a"), F.col("simhash").alias("hash_a"))
+    b = keyed.select("key", F.col("class_id").alias("class_b"), F.col("simhash").alias("hash_b"))
     apart = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    links = a.join(b, ["band", "bits"]).where((F.col("class_a") < F.col("class_b")) & (apart <= distance))
+    links = a.join(b, "key").where((F.col("class_a") < F.col("class_b")) & (apart <= distance))
     return members, links.select("class_a", "class_b", apart.cast("int").alias("distance")).distinct()
 
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions import html, text, tokens, urls
 from lakesearch.operators import authority, frontier, index, monitor, simhash
-from lakesearch.operators.search import Index, Weights, as_json, external_filter
+from lakesearch.operators.search import Index, Weights, as_json, external_filter, external_suggestions
 from lakesearch.plans.query import parse
 from lakesearch.sources import seeds
-from lakesearch.sources.shared import materialize
+from lakesearch.sources.shared import materialize, scratch
 from lakesearch.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,9 +109,20 @@ def phrase_sql(terms: list[str]) -> str:
     return f"SELECT doc_id FROM (SELECT p.doc_id, unnest(p.positions) AS pos, q.i FROM post p JOIN (VALUES {listed}) AS q(i, term) USING (term)) GROUP BY doc_id, pos - i HAVING count(*) = {len(terms)}"
 
 
+#: (application, folder) -> where the index of its tables was saved.
+_saved: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, folder: str) -> Index:
+    """The index of a folder's tables: built and saved by term at the first use, opened by each query."""
     docs = table(spark, folder, "crawl_docs")
-    return Index(docs, index.live_postings(table(spark, folder, "postings"), docs))
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _saved:
+        path = scratch(spark, "index")
+        post = materialize(index.live_postings(table(spark, folder, "postings"), docs), "live")
+        index.save(spark, path, "v1", **Index(docs, post).tables())
+        _saved[key] = path
+    return Index.open(spark, _saved[key], docs)
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -181,23 +193,12 @@ def page_title(spark, folder):
     return _html(spark, folder).select("doc_id", "page.title", "page.description")
 
 
-@query(
-    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(body_text, ''), chr(10)), lambda x: {strip_sql("x")}), lambda x: length(x) > 1) AS ls FROM crawl_docs WHERE url IS NOT NULL),
-    t AS (SELECT doc_id, array_to_string(ls, chr(10)) AS body, list_sum(list_transform(ls, lambda x: length(x))) AS n FROM l) SELECT doc_id, substr(body, 1, 50000) AS body_text FROM t WHERE n >= 100"""
-)
-def page_article_text(spark, folder):
-    # shorter articles fall back to the whole page
-    lines = F.filter(F.transform(F.split("body_text", "\n"), lambda x: F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")), lambda x: F.length(x) > 1)
-    long = table(spark, folder, "crawl_docs").where(F.length(F.array_join(lines, "")) >= 100).select("doc_id")
-    return _html(spark, folder).select("doc_id", "page.body_text").join(long, "doc_id", "left_semi")
-
-
 @query(
     f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(body_text, ''), chr(10)), lambda x: {strip_sql("x")}), lambda x: length(x) > 1) AS ls, list_transform(list_filter(coalesce(outlinks, []), lambda x: x IS NOT NULL), lambda x: 'go') AS go FROM crawl_docs WHERE url IS NOT NULL),
     t AS (SELECT *, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS n, list_filter(ls, lambda x: length(x) >= 20) AS blocks FROM l)
     SELECT doc_id, substr(array_to_string(CASE WHEN n >= 100 THEN ls WHEN len(blocks) >= 2 THEN blocks ELSE list_concat(ls, go) END, chr(10)), 1, 50000) AS body_text FROM t"""
 )
-def page_main_text(spark, folder):
+def page_article_text(spark, folder):
     # every page: short articles take the text of their blocks, and those of fewer than two blocks the whole body
     return _html(spark, folder).select("doc_id", "page.body_text")
 
@@ -280,10 +281,32 @@ def list_docs(spark, folder):
     return index.listed(table(spark, folder, "crawl_docs").select("doc_id", "url", "title"), 2, 20)
 
 
-@query(f"WITH k AS (SELECT doc_id, {normal_sql('url')} AS norm, fetch_time FROM crawl_docs WHERE url IS NOT NULL) SELECT doc_id, norm FROM k QUALIFY row_number() OVER (PARTITION BY norm ORDER BY fetch_time DESC NULLS LAST, doc_id DESC) = 1")
+@query(f"WITH k AS (SELECT doc_id, CASE WHEN url IS NOT NULL THEN {normal_sql('url')} END AS norm, fetch_time FROM crawl_docs) SELECT doc_id, norm FROM (SELECT * FROM k WHERE norm IS NOT NULL QUALIFY row_number() OVER (PARTITION BY norm ORDER BY fetch_time DESC NULLS LAST, doc_id DESC) = 1) UNION ALL SELECT doc_id, norm FROM k WHERE norm IS NULL")
 def upsert_by_url(spark, folder):
-    docs = table(spark, folder, "crawl_docs").where("url is not null").select("doc_id", urls.normalize(F.col("url")).alias("norm"), "fetch_time")
-    return index.upsert(docs, F.col("norm"), [F.desc_nulls_last("fetch_time"), F.desc("doc_id")]).select("doc_id", "norm")
+    docs = table(spark, folder, "crawl_docs").select("doc_id", F.when(F.col("url").isNotNull(), urls.normalize(F.col("url"))).alias("norm"), "fetch_time")
+    return index.upsert(docs, F.col("norm"), [F.col("fetch_time"), F.col("doc_id")]).select("doc_id", "norm")
+
+
+@query("WITH k AS (SELECT doc_id AS old_id, CASE WHEN title IS NULL THEN NULL ELSE doc_id END AS doc_id, fetch_time FROM crawl_docs) SELECT old_id, doc_id FROM k WHERE doc_id IS NOT NULL UNION ALL SELECT old_id, row_number() OVER (ORDER BY fetch_time NULLS FIRST, old_id) + (SELECT max(doc_id) FROM k) AS doc_id FROM k WHERE doc_id IS NULL")
+def assign_ids(spark, folder):
+    docs = table(spark, folder, "crawl_docs").select(F.col("doc_id").alias("old_id"), F.when(F.col("title").isNotNull(), F.col("doc_id")).alias("doc_id"), "fetch_time")
+    return index.with_ids(docs, [F.col("fetch_time"), F.col("old_id")]).select("old_id", "doc_id")
+
+
+@query("WITH o AS (SELECT * FROM crawl_docs WHERE doc_id % 2 = 0), n AS (SELECT * FROM crawl_docs WHERE doc_id % 2 = 1) SELECT doc_id, url FROM o WHERE url IS NULL OR url NOT IN (SELECT url FROM n WHERE url IS NOT NULL) UNION ALL SELECT doc_id, url FROM n")
+def index_merge(spark, folder):
+    # a saved index of one half of the pages, then the other half merged into it
+    docs, path = table(spark, folder, "crawl_docs"), scratch(spark, "merged")
+    post = materialize(index.live_postings(table(spark, folder, "postings"), docs), "live")
+    for version, odd in (("v1", 0), ("v2", 1)):
+        half = docs.where(F.col("doc_id") % 2 == odd)
+        index.merged(spark, path, version, half, post.join(half.select("doc_id"), "doc_id", "left_semi").select(*post.columns))
+    return index.load(spark, path, "documents").select("doc_id", "url")
+
+
+@query("SELECT doc_id, url, title FROM crawl_docs WHERE doc_id = 7")
+def get_document(spark, folder):
+    return index.document(table(spark, folder, "crawl_docs").select("doc_id", "url", "title"), 7)
 
 
 # --- near-duplicates
@@ -307,9 +330,27 @@ def simhash_docs(spark, folder):
     return _prints(spark, folder)
 
 
-@query(PRINTS + ", c AS (SELECT simhash, hi, lo, min(doc_id) AS id FROM s WHERE simhash <> 0 GROUP BY 1, 2, 3) SELECT a.id AS class_a, b.id AS class_b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3")
+# each fingerprint stands beside a copy in which up to four bits are turned
+TURNED = PRINTS + """, m AS (SELECT doc_id, """ + ", ".join(
+    "CAST(" + " + ".join(f"CASE WHEN {j} < doc_id % 5 AND (doc_id * 13 + {17 * j}) % 64 {op} THEN 1::BIGINT << CAST((doc_id * 13 + {17 * j}) % 64{less} AS INTEGER) ELSE 0 END" for j in range(4)) + f" AS BIGINT) AS {name}"
+    for name, op, less in (("mh", ">= 32", " - 32"), ("ml", "< 32", ""))
+) + """ FROM s), w AS (SELECT doc_id, hi, lo FROM s UNION ALL SELECT s.doc_id + 1000000000, xor(hi, mh), xor(lo, ml) FROM s JOIN m USING (doc_id) WHERE simhash <> 0),
+c AS (SELECT hi, lo, min(doc_id) AS id FROM w WHERE hi <> 0 OR lo <> 0 GROUP BY 1, 2) """
+
+
+def _turned(spark, folder):
+    rows = materialize(_prints(spark, folder), "prints")
+    flips = F.lit(0).cast("bigint")
+    for j in range(4):
+        bit = F.expr(f"shiftleft(1L, cast((doc_id * 13 + {17 * j}) % 64 as int))")
+        flips = flips.bitwiseXOR(F.when(F.lit(j) < F.col("doc_id") % 5, bit).otherwise(F.lit(0).cast("bigint")))
+    copies = rows.where("simhash <> 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("simhash").bitwiseXOR(flips).alias("simhash"))
+    return rows.unionByName(copies)
+
+
+@query(TURNED + "SELECT a.id AS class_a, b.id AS class_b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3")
 def hamming_pairs(spark, folder):
-    return simhash.near_classes(materialize(_prints(spark, folder), "prints"))[1]
+    return simhash.near_classes(_turned(spark, folder))[1]
 
 
 @query(PRINTS + ", c AS (SELECT simhash, min(doc_id) AS id FROM s WHERE simhash <> 0 GROUP BY 1) SELECT doc_id, id AS class_id FROM s JOIN c USING (simhash)")
@@ -319,7 +360,7 @@ def hamming_members(spark, folder):
 
 @query()
 def duplicate_gate(spark, folder):
-    return simhash.kept(materialize(_prints(spark, folder), "prints"))
+    return simhash.kept(materialize(_turned(spark, folder), "turned"))
 
 
 # --- links
@@ -354,6 +395,17 @@ def authority_normalize(spark, folder):
     return authority.normalized(_ranks(spark, folder))
 
 
+@query(RANKS + ", a AS (SELECT round((rank - (SELECT min(rank) FROM r15)) / ((SELECT max(rank) FROM r15) - (SELECT min(rank) FROM r15)), 6) AS authority FROM r15) SELECT count(*) AS docs, max(authority) AS example_max, min(authority) AS example_min FROM a")
+def authority_summary(spark, folder):
+    docs = table(spark, folder, "crawl_docs")
+    return authority.written_back(docs, _ranks(spark, folder))[1]
+
+
+@query(RANKS + " SELECT doc_id, url, round((rank - (SELECT min(rank) FROM r15)) / ((SELECT max(rank) FROM r15) - (SELECT min(rank) FROM r15)), 6) AS authority FROM r15 JOIN crawl_docs USING (doc_id)")
+def authority_rebuilt(spark, folder):
+    return authority.rebuilt(table(spark, folder, "crawl_docs"), "managed").select("doc_id", "url", "authority")
+
+
 # --- retrieval and ranking
 
 TWO = ["guide", "harbour"]
@@ -448,29 +500,38 @@ def results_json(spark, folder):
     return as_json(_index(spark, folder).results(parse("guide -maps"), 1, 20))
 
 
+@query(LIVE + "SELECT doc_id, term_freq, positions FROM post WHERE term = 'harbour'")
+def postings_lookup(spark, folder):
+    return _index(spark, folder).postings_of("harbour")
+
+
+@query(LIVE + "SELECT CAST(dl AS BIGINT) AS doc_length FROM len WHERE doc_id = 3")
+def length_lookup(spark, folder):
+    return _index(spark, folder).length_of(3)
+
+
 # --- snippets, suggestions, corrections
 
-SNIP = """WITH t AS (SELECT doc_id, description AS x, lower(description) AS low FROM crawl_docs), p AS (SELECT *, least(nullif(instr(low, 'known'), 0), nullif(instr(low, 'guide'), 0)) AS loc FROM t), s AS (SELECT *, greatest(0, loc - 1 - 30) AS st FROM p), e AS (SELECT *, least(length(x), st + 60) AS en FROM s), w AS
-(SELECT doc_id, CASE WHEN coalesce(x, '') = '' THEN '' WHEN loc IS NULL THEN substr(x, 1, 60) ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || substr(x, st + 1, 60) || CASE WHEN en < length(x) THEN '...' ELSE '' END END AS cut FROM e) """
+SNIP = """WITH t AS (SELECT doc_id, body_text AS x, lower(body_text) AS low FROM crawl_docs), p AS (SELECT *, least(nullif(instr(low, 'known'), 0), nullif(instr(low, 'guide'), 0)) AS loc FROM t), s AS (SELECT *, greatest(0, loc - 1 - 100) AS st FROM p), e AS (SELECT *, least(length(x), st + 200) AS en FROM s), w AS
+(SELECT doc_id, CASE WHEN coalesce(x, '') = '' THEN '' WHEN loc IS NULL THEN substr(x, 1, 200) ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || substr(x, st + 1, 200) || CASE WHEN en < length(x) THEN '...' ELSE '' END END AS cut FROM e) """
 
 
 @query(SNIP + "SELECT doc_id, cut FROM w")
 def snippet(spark, folder):
-    return table(spark, folder, "crawl_docs").select("doc_id", text.snippet_window(F.col("description"), ["known", "guide"], 60).alias("cut"))
+    return table(spark, folder, "crawl_docs").select("doc_id", text.snippet_window(F.col("body_text"), ["known", "guide"]).alias("cut"))
 
 
 @query(SNIP + "SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(cut, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), 'known', '<b>known</b>', 'gi'), 'guide', '<b>guide</b>', 'gi') AS marked FROM w")
 def highlight(spark, folder):
-    cut = text.snippet_window(F.col("description"), ["known", "guide"], 60)
+    cut = text.snippet_window(F.col("body_text"), ["known", "guide"])
     return table(spark, folder, "crawl_docs").select("doc_id", text.highlighted(cut, ["known", "guide"]).alias("marked"))
 
 
-VOCAB = LIVE + ", v AS (SELECT term, count(*) AS df, min(doc_id) AS first_doc FROM post GROUP BY 1)"
+VOCAB = LIVE + ", v AS (SELECT term, count(*) AS df, min(doc_id) AS first_doc, arg_min(coalesce(list_min(positions), 0), doc_id) AS first_pos FROM post GROUP BY 1)"
 
 
 def _vocabulary(spark, folder):
-    post = _index(spark, folder).post
-    return materialize(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first_doc")).withColumn("first_pos", F.col("term")), "vocabulary")
+    return materialize(_index(spark, folder).vocabulary(), "vocabulary")
 
 
 @query(VOCAB + " SELECT term, df FROM v WHERE term LIKE 'ha%' ORDER BY df DESC, term LIMIT 8")
@@ -478,21 +539,22 @@ def suggest_prefix(spark, folder):
     return text.suggestions(_vocabulary(spark, folder), "Ha ")
 
 
-WRONG = "(SELECT DISTINCT substr(term, 1, 2) || 'x' || substr(term, 4) AS word FROM (SELECT unnest(title_tokens) AS term FROM crawl_docs) WHERE regexp_matches(term, '^[a-z]{4,12}$'))"
+# every title word of ASCII letters and digits, its third character changed (DuckDB's distance counts bytes)
+WRONG = "(SELECT DISTINCT CASE WHEN length(term) > 2 THEN substr(term, 1, 2) || 'x' || substr(term, 4) ELSE term || 'x' END AS word FROM (SELECT unnest(title_tokens) AS term FROM crawl_docs) WHERE regexp_full_match(term, '[a-z0-9]+'))"
 
 
 def _words(spark, folder):
-    t = table(spark, folder, "crawl_docs").select(F.explode("title_tokens").alias("term")).where(F.col("term").rlike("^[a-z]{4,12}$"))
-    return t.select(F.concat(F.substring("term", 1, 2), F.lit("x"), F.expr("substr(term, 4)")).alias("word")).distinct()
+    t = table(spark, folder, "crawl_docs").select(F.explode("title_tokens").alias("term")).where(F.col("term").rlike("^[a-z0-9]+$"))
+    return t.select(F.expr("case when length(term) > 2 then concat(substr(term, 1, 2), 'x', substr(term, 4)) else concat(term, 'x') end").alias("word")).distinct()
 
 
-@query(VOCAB + f" SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), first_doc, term) AS k FROM {WRONG} w JOIN v ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2) WHERE k = 1")
+@query(VOCAB + f" SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), first_doc, first_pos) AS k FROM {WRONG} w JOIN v ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2) WHERE k = 1")
 def nearest_term(spark, folder):
     return text.nearest(_words(spark, folder), _vocabulary(spark, folder))
 
 
 @query(
-    VOCAB + f""", q AS (SELECT w.word AS query_id, unnest(['guide', w.word]) AS word, unnest([0, 1]) AS loc FROM {WRONG} w), k AS (SELECT q.*, CASE WHEN v.term IS NOT NULL THEN q.word ELSE coalesce((SELECT arg_min(x.term, (levenshtein(q.word, x.term), x.first_doc, x.term)) FROM v x WHERE abs(length(q.word) - length(x.term)) <= 2 AND levenshtein(q.word, x.term) <= 2), q.word) END AS token FROM q LEFT JOIN v ON v.term = q.word)
+    VOCAB + f""", q AS (SELECT w.word AS query_id, unnest(['guide', w.word]) AS word, unnest([0, 1]) AS loc FROM {WRONG} w), k AS (SELECT q.*, CASE WHEN v.term IS NOT NULL THEN q.word ELSE coalesce((SELECT arg_min(x.term, (levenshtein(q.word, x.term), x.first_doc, x.first_pos)) FROM v x WHERE abs(length(q.word) - length(x.term)) <= 2 AND levenshtein(q.word, x.term) <= 2), q.word) END AS token FROM q LEFT JOIN v ON v.term = q.word)
     SELECT query_id, CASE WHEN bool_or(token <> word) THEN string_agg(token, ' ' ORDER BY loc) END AS corrected FROM k GROUP BY 1"""
 )
 def correct_query(spark, folder):
@@ -500,6 +562,20 @@ def correct_query(spark, folder):
     return text.corrected(q, _vocabulary(spark, folder))
 
 
+@query(
+    VOCAB + f""", found AS (SELECT 'guide' AS query, count(*) AS total FROM ({all_sql(['guide'])}) UNION ALL SELECT 'guide -maps', count(*) FROM ({all_sql(['guide'])}) WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'maps') UNION ALL SELECT 'guxde', count(*) FROM ({all_sql(['guxde'])}))
+    SELECT query, least(total, 1000) AS total, CASE WHEN total = 0 THEN (SELECT arg_min(term, (levenshtein(query, term), first_doc, first_pos)) FROM v WHERE levenshtein(query, term) <= 2) END AS suggestion FROM found"""
+)
+def search_totals(spark, folder):
+    i = _index(spark, folder)
+    return reduce(DataFrame.union, [i.answer(q).select("query", "total", "suggestion") for q in ("guide", "guide -maps", "guxde")])
+
+
+@query("WITH t AS (SELECT doc_id AS rank, unnest(title_tokens) AS term, unnest(range(len(title_tokens))) AS loc FROM crawl_docs) SELECT term FROM t WHERE starts_with(term, 'ha') GROUP BY term ORDER BY min((rank, loc)) LIMIT 8")
+def external_suggest(spark, folder):
+    return external_suggestions(table(spark, folder, "crawl_docs").select(F.col("doc_id").alias("rank"), "title_tokens"), "Ha")
+
+
 # --- frontier, fetches, tasks
 
 
@@ -570,6 +646,11 @@ def fetch_counters(spark, folder):
     return monitor.counters(table(spark, folder, "fetches"))
 
 
+@query("WITH f AS (SELECT DISTINCT ON (fetch_id) *, lower(coalesce(error, '')) AS e FROM fetches), g AS (SELECT *, coalesce(status = 200 AND e = '', false) AS fine FROM f) SELECT count(*) AS requests, count(*) FILTER (fine) AS success, count(*) FILTER (NOT fine AND NOT contains(e, 'robots')) AS errors, count(*) FILTER (contains(e, 'robots')) AS robots_blocked FROM g")
+def download_counters(spark, folder):
+    return monitor.downloads(table(spark, folder, "fetches"))
+
+
 @query("SELECT doc_id, fetch_time FROM crawl_docs ORDER BY fetch_time DESC NULLS LAST, doc_id DESC LIMIT 50")
 def recent_crawls(spark, folder):
     return monitor.recent(table(spark, folder, "crawl_docs").select("doc_id", "fetch_time"), [F.desc_nulls_last("fetch_time"), F.desc("doc_id")])
@@ -590,10 +671,21 @@ def task_history(spark, folder):
     return monitor.task_history(table(spark, folder, "tasks")).select("id", "status", "crawled", "errors")
 
 
+@query("SELECT id, status, crawled FROM tasks ORDER BY started_at DESC, id LIMIT 40")
+def task_record(spark, folder):
+    # the finished tasks as the history, the others recorded in front of it
+    tasks = table(spark, folder, "tasks").select("id", "status", "crawled", "started_at")
+    return monitor.recorded(tasks.where("status = 'finished'"), tasks.where("status <> 'finished'"), 40).select("id", "status", "crawled")
+
+
 @query("SELECT DISTINCT url FROM (SELECT unnest(CAST(json_extract_string(params, '$.seeds[*]') AS VARCHAR[])) AS url FROM tasks) WHERE url LIKE 'http://%' OR url LIKE 'https://%'")
 def seed_store(spark, folder):
-    found = table(spark, folder, "tasks").select(F.explode(F.from_json("params", "seeds array<string>")["seeds"]).alias("url"))
-    return seeds.added(found.limit(0), found)
+    # the seeds of finished tasks stored, those of the others typed in as one text and added
+    found = table(spark, folder, "tasks").select("status", F.from_json("params", "seeds array<string>")["seeds"].alias("seeds"))
+    path = scratch(spark, "seeds")
+    seeds.save_store(found.where("status = 'finished'").select(F.explode("seeds").alias("url")), path)
+    typed = found.where("status <> 'finished'").select(F.explode(seeds.split_seeds(F.array_join("seeds", " ,\n"))).alias("url"))
+    return seeds.added(seeds.load_store(spark, path), typed)
 
 
 @query("SELECT DISTINCT url FROM (SELECT unnest(CAST(json_extract_string(params, '$.seeds[*]') AS VARCHAR[])) AS url FROM tasks) WHERE url NOT IN (SELECT url FROM (SELECT unnest(CAST(json_extract_string(params, '$.seeds[*]') AS VARCHAR[])) AS url FROM tasks WHERE status = 'error'))")

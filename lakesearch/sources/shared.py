@@ -44,6 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write `df` once, spread and sorted by `column` into as many buckets as a shuffle has partitions, and read it back.
+
+    Joins and groupings by that column then move no row of it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written path on whatever file system it lives on."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores for work in Python, where its files give fewer partitions than there are cores; a table of any
-    size has more and stays as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """`df` over all cores for work in Python, where its input is so small that a scan gives fewer partitions than there are
+    cores. A scan gives a partition to every few MB (spark.sql.files.openCostInBytes) until all cores are busy, so the sizes
+    of the plan's inputs tell, and no job is run to find out. A table of any size stays as it is, without a shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * least else df

@@ -24,13 +24,14 @@ def windowed_counts(events: DataFrame, time: str, size: str, late: str, *keys: s
 
 
 def index_pages(pages: DataFrame, path: str, checkpoint: str, words: Sequence[tuple[str, int | None]] = (), **trigger: object) -> StreamingQuery:
-    """Append the postings and documents of each micro-batch under `path`, in a folder of the batch's number: a batch
-    that is run again after a failure replaces itself. `words` is the dictionary for Chinese text (`index.assembled`)."""
+    """Merge each micro-batch into the index under `path`, a version of it per batch: a page fetched again replaces the one
+    of its url, and a batch that is run again after a failure gives the same version. `words` is the dictionary for
+    Chinese text (`index.assembled`)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = index.assembled(batch, words)
-        index.postings(index.occurrences(docs)).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        docs.drop("tokens").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+        newest = index.upsert(batch, F.col("url"), [F.col("fetch_time"), F.col("doc_id")]) if "fetch_time" in batch.columns else batch
+        docs = index.assembled(newest, words)
+        index.merged(batch.sparkSession, path, f"batch-{number:09d}", docs.drop("tokens"), index.postings(index.occurrences(docs)))
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -99,7 +99,7 @@ def test_results(idx):
 
 def test_upsert_delete_list_save(spark, idx, tmp_path):
     docs = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, None, 1.0), (4, None, 1.0), (5, "b", None)], "doc_id bigint, url string, t double")
-    assert ids(index.upsert(docs, F.col("url"), [F.desc_nulls_last("t"), F.desc("doc_id")])) == [2, 3, 4, 5]
+    assert ids(index.upsert(docs, F.col("url"), [F.col("t"), F.col("doc_id")])) == [2, 3, 4, 5]
     assert 0 not in ids(index.without(idx.post, spark.createDataFrame([(0,), (0,)], "doc_id bigint")))
     assert [r.doc_id for r in index.listed(docs, 2, 2).collect()] == [3, 2]
     index.save(spark, str(tmp_path), "v1", postings=idx.post)

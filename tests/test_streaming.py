@@ -1,5 +1,6 @@
 import datetime as dt
 
+from lakesearch.operators import index
 from lakesearch.streaming import ingest
 
 
@@ -22,5 +23,5 @@ def test_index_pages_and_manager(spark, tmp_path):
     assert manager.start(lambda: ingest.index_pages(pages, str(tmp_path / "out"), str(tmp_path / "cp")))
     manager.query.awaitTermination(60)
     assert manager.status == "finished"
-    got = {r.term: r.term_freq for r in spark.read.parquet(str(tmp_path / "out/postings")).collect()}
+    got = {r.term: r.term_freq for r in index.load(spark, str(tmp_path / "out"), "postings").collect()}
     assert got["fish"] == 2
