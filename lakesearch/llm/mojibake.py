@@ -111,14 +111,19 @@ _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщ
 #: A guillemet that opens before a capital or closes a word: its charge is ordinary.
 _OPENING, _CLOSING = re.compile(r"(?<!\w)«(?=[À-Ý])"), re.compile(r"(?<=[ß-öø-ÿ])»(?!\w)")
 #: A lone Russian letter between Latin words, a lone accented one that is no word, or before a capital.
-_LONE = re.compile(r"(?<=[A-Za-z] )(?:[А-яЁё](?= [A-Za-z])|[^\W\d_a-zA-ZàéèòóáÀÉА-яЁё一-鿿](?= [A-Za-z])|[éèòóá](?= [A-Z]))|^[а-яё](?= \d)")
+_LONE = re.compile(r"[^\W\d_a-zA-ZàÀ一-鿿](?:(?<=[A-Za-z] .)(?:(?<=[^éèòóáÉ])(?= [A-Za-z])|(?<=[éèòóá])(?= [A-Z]))|(?<=^[а-яё])(?= \d))")
 #: Quotation marks or brackets inside a word, dashes between small letters, a no-break space where a line begins.
 _INSIDE_WORD = re.compile(
-    r"(?<=[^\W\d_])[“”„•‹›–—]*[“”„•‹›…][“”„•‹›–—]*(?=[^\W\d_])|(?<=[a-zß-ÿ])‘(?=[a-zß-ÿ])|(?<=[a-zß-ÿ])[–—](?=[a-zß-ÿ])|(?<=[a-zß-ÿ][–—“”„])[“”„](?=\W|$)|(?<=[a-zß-ÿ]{2})[‘’](?=[À-Ý])|^\xa0(?=\w)|(?<=[^\W\d_])[\^\[\]{}\\]+(?=[^\W\d_])"
+    r"[“”„•‹›…–—‘’\xa0\^\[\]{}\\](?:"
+    r"(?:(?<=[^\W\d_][“”„•‹›…])|(?<=[^\W\d_][–—])(?=[–—“”„•‹›…]*[“”„•‹›…]))[“”„•‹›–—…]*(?=[^\W\d_])"
+    r"|(?<=[a-zß-ÿ][‘–—])(?=[a-zß-ÿ])|(?<=[a-zß-ÿ]{2}[‘’])(?=[À-Ý])|(?<=[a-zß-ÿ][–—“”„][“”„])(?=\W|$)"
+    r"|(?<=^\xa0)(?=\w)|(?<=[^\W\d_][\^\[\]{}\\])[\^\[\]{}\\]*(?=[^\W\d_]))"
 )
 #: What hardly any Russian word has: ь, ъ or ы after a vowel or at the beginning, three vowels or five consonants in a row,
 #: no vowel at all.
-_NOT_RUSSIAN = re.compile(r"(?:(?<![а-яё])|(?<=[аеёиоуыэюяйьъ]))[ьъы]|[аеёиоуыэюя]{3}|[бвгджзклмнпрстфхцчшщь]{5}|[ьъ][ьъыаоэ]|(?<![а-яё])[бвгджзклмнпрстфхцчшщ]{3,}(?![а-яё])")
+_NOT_RUSSIAN = re.compile(
+    r"[ьъы](?:(?<![а-яё].)|(?<=[аеёиоуыэюяйьъ].))|[аеёиоуыэюя]{3}|[бвгджзклмнпрстфхцчшщь]{5}|[ьъ][ьъыаоэ]|[бвгджзклмнпрстфхцчшщ](?<![а-яё].)[бвгджзклмнпрстфхцчшщ]{2,}(?![а-яё])"
+)
 
 
 def _russian_costs() -> dict[str, float]:
@@ -160,34 +165,39 @@ def _suspect() -> re.Pattern:
 _GLUED = re.compile(r"(?<=[A-Za-z]{3})(?=[а-яА-Я][а-я]{3})|(?<=[а-я]{3})(?=[A-Za-z]{3})")
 
 _RUSSIAN_LETTER = re.compile("[а-яА-Я]")
-#: ASCII but control characters, between other ASCII.
-_INSIDE = re.compile(r"(?<=[\x00-\x7f])[\t\n\r\x20-\x7e]+(?=[\x00-\x7f])")
+#: ASCII but control characters, three characters away from any other.
+_INSIDE = re.compile(r"(?<=[\x00-\x7f]{3})[\t\n\r\x20-\x7e]+(?=[\x00-\x7f]{3})")
 
 
 @lru_cache(1)
 def _charged() -> re.Pattern:
-    """Whatever `evidence` counts, as kinds: a class beyond the ordinary ones, a pair that costs, Russian letters."""
+    """Whatever `evidence` counts, as kinds, beside Russian letters: a class beyond the ordinary ones, a pair that costs."""
     pairs: dict[str, str] = {}
     for (a, b), w in ((p, w) for p, w in _TWO.items() if w):
         pairs[a] = pairs.get(a, "") + b
-    return re.compile(f"[cC{''.join(k for k in _ONE if k not in _ORDINARY)}]|" + "|".join(f"{a}[{b}]" for a, b in pairs.items()))
+    return re.compile(f"[{''.join(k for k in _ONE if k not in _ORDINARY)}]|" + "|".join(f"{a}[{b}]" for a, b in pairs.items()))
 
 
 def _costs(text: str) -> tuple[float, float]:
     """(cost, evidence) of a text."""
     russian = bool(_RUSSIAN_LETTER.search(text))
     # nothing is charged inside a stretch of ASCII, so only its ends are looked at
-    kinds = _INSIDE.sub("0", _GLUED.sub(" ", text) if russian else text).translate(_CLASS)
-    counts = Counter(kinds)
-    small = sum(_ONE[k] * counts[k] for k in _ORDINARY)
-    if not _charged().search(kinds) and not _INSIDE_WORD.search(text) and not _LONE.search(text):
-        return small, 0.0
-    letters = Counter(c for c in text.lower() if c in _LETTER) if "c" in kinds or "C" in kinds else None
-    strange = sum(_LETTER[c] * n for c, n in letters.items()) - 0.12 * letters.total() if letters else 0.0
-    total = rare = max(0.0, strange) if letters and letters.total() > 5 else 0.0
-    if letters:
-        total += 0.8 * len(_NOT_RUSSIAN.findall(text.lower()))
+    text = _INSIDE.sub("0", _GLUED.sub(" ", text) if russian else text)
+    kinds = text.translate(_CLASS)
+    small = sum(_ONE[k] * n for k in _ORDINARY if (n := kinds.count(k)))
+    charged = _charged().search(kinds) or _INSIDE_WORD.search(text) or _LONE.search(text)
+    strange = total = rare = 0.0
+    if russian:
+        low = text.lower()
+        letters = [(c, n) for c in _LETTER if (n := low.count(c))]
+        n_letters = sum(n for _, n in letters)
+        strange = sum(_LETTER[c] * n for c, n in letters) - 0.12 * n_letters
+        rare = max(0.0, strange) if n_letters > 5 else 0.0
+        total = rare + 0.8 * len(_NOT_RUSSIAN.findall(low))
+    if not charged:
+        return total + small, total if total - rare > 0.01 else 0.0
     total += sum(1.2 * len(x) for x in _INSIDE_WORD.findall(text)) + 0.9 * len(_LONE.findall(text))
+    counts = Counter(kinds)
     for k, n in counts.items():
         if k in _ONE and k not in _ORDINARY:
             total += _ONE[k] * n

@@ -82,20 +82,22 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(_INNER.sub("\x02", text))
 
 
-def _clauses(tokens: list[str], sizes: list[int], repeated: list[bool]) -> int:
-    """Characters in sentences of some length and variety that aren't made of repeats."""
-    total = begin = 0
-    for i, t in enumerate(tokens):
-        if t in _STOPS:
+def _clauses(tokens: list[str], sizes: list[int], repeated: list[bool] | None, enough: float = float("inf")) -> int:
+    """Characters in sentences of some length and variety that aren't made of repeats; counted until they are `enough`."""
+    total, begin = 0, 0
+    for i in [i for i, t in enumerate(tokens) if t in _STOPS]:
+        if i - begin >= WORDS and tokens[i] != "\n":
             part = tokens[begin : i + 1]
-            if t != "\n" and len(part) > WORDS and "\x01" not in part:
-                words = [w for w in part if w.isalpha()]
-                han = sum("一" <= w <= "鿿" for w in words)
+            words = [w for w in part if w.isalpha()]
+            if len(words) >= WORDS and "\x01" not in part:
+                han = 0 if "".join(words).isascii() else sum("一" <= w <= "鿿" for w in words)
                 if len(words) - han / 2 >= WORDS and len(set(words)) >= (DISTINCT if han * 2 < len(words) else DISTINCT_HAN) * len(words):
                     size = sum(sizes[begin : i + 1])
-                    if sum(compress(sizes[begin : i + 1], repeated[begin : i + 1])) <= REPEATED * size:
+                    if repeated is None or sum(compress(sizes[begin : i + 1], repeated[begin : i + 1])) <= REPEATED * size:
                         total += size
-            begin = i + 1
+                        if total >= enough:
+                            break
+        begin = i + 1
     return total
 
 
@@ -116,31 +118,40 @@ def measure(tokens: list[str], sizes: list[int], poor: bool = True) -> tuple[flo
         if i >= first:
             covered += sizes[i]
         long_runs[i] = i >= first_long
-    return covered / total, _clauses(tokens, sizes, long_runs if poor else [False] * n) / total
+    return covered / total, _clauses(tokens, sizes, long_runs if poor else None) / total
 
 
-def weight(title: str | None, body: str | None, links: int, sure: bool = False) -> float:
-    """Evidence that a page is a heap, less evidence that it isn't, in characters. Null and empty bodies have none. With
-    `sure` a page that clauses alone clear is 0 without its automaton."""
-    if not body:
-        return 0.0
-    text = repair_text(body)[0]
+def _weigh(title: str | None, text: str, links: int, sure: bool) -> float:
     if text.count("�") * 20 > len(text):
         return 0.0  # of lost text neither repeats nor clauses can be told
     tokens = _tokens(f"{title}\n{text}" if title else text)
-    sizes = [0 if t == "\n" else len(t) for t in tokens]
+    sizes = list(map(len, tokens))
+    for i in [i for i, t in enumerate(tokens) if t == "\n"]:
+        sizes[i] = 0
     size = sum(sizes)
     if not size:
         return 0.0
     words = [t for t in tokens if t.isalpha()]
     poor = len(set(words)) < POOR * len(words)
-    if sure and not poor and CLAUSE * _clauses(tokens, sizes, [False] * len(tokens)) >= size:
+    if sure and not poor and CLAUSE * _clauses(tokens, sizes, None, size / CLAUSE) >= size:
         return 0.0  # even if every character were in a repeat, the clauses would outweigh them
     repeats, clauses = measure(tokens, sizes, poor)
     loose = LOOSE_LINKED if links and size <= LINK_CHARS * links else LOOSE
     return (repeats + loose * max(0.0, 1 - repeats - clauses) - CLAUSE * clauses) * size - CLAUSE * CREDIT
 
 
+def weight(title: str | None, body: str | None, links: int, sure: bool = False) -> float:
+    """Evidence that a page is a heap, less evidence that it isn't, in characters. Null and empty bodies have none.
+
+    Wrongly decoded sentences may look like a heap, so a heap must be one both as it stands and as it should read: the
+    lesser weight counts. With `sure` a page that clauses alone clear is 0 without its automaton.
+    """
+    if not body or (found := _weigh(title, body, links, sure)) <= 0:
+        return 0.0
+    text, wrong = repair_text(body)
+    return min(found, _weigh(title, text, links, sure)) if wrong else found
+
+
 def is_heap(title: str | None, body: str | None, links: int) -> bool:
     """Whether a page is a heap of keywords, links or tags."""
     return weight(title, body, links, sure=True) > 0
