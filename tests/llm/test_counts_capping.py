@@ -85,3 +85,29 @@ def test_capping_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, who string")
     assert capping.dropped(df, F.col("who"), [F.col("doc_id")], 1, ["doc_id"]).collect() == []
     assert capping.cap_of(0, 2) == 1 and capping.cap_of(199, 2) == 3
+
+
+def test_failed_change_can_be_applied_again(spark, tmp_path, monkeypatch):
+    store = counts.TermStore(spark, str(tmp_path / "s"))
+    one = frame(spark, [(1, ["a", "b"]), (2, ["a"])])
+    change = lambda: (counts.delta(counts.from_arrays(one, "doc_id", "title_tokens")), counts.totals(one, "doc_id", "title_tokens"))
+    store.apply(*change())
+    with monkeypatch.context() as m:
+        m.setattr(counts.TermStore, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.apply(counts.delta(removed=counts.from_arrays(one, "doc_id", "title_tokens")), counts.totals(one, "doc_id", "title_tokens", sign=-1))
+    assert {r.term: r.n_records for r in store.counts().collect()} == {"a": 2, "b": 1} and store.totals().first().n_total == 2
+    store.apply(counts.delta(removed=counts.from_arrays(one, "doc_id", "title_tokens")), counts.totals(one, "doc_id", "title_tokens", sign=-1))
+    assert store.counts().collect() == [] and store.totals().first().n_total == 0
+
+
+def test_many_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counts, "BUCKET_ROWS", 3)
+    store = counts.TermStore(spark, str(tmp_path / "s"))
+    rows = frame(spark, [(i, [f"w{i}"]) for i in range(20)])
+    store.apply(counts.delta(counts.from_arrays(rows, "doc_id", "title_tokens")), counts.totals(rows, "doc_id", "title_tokens"))
+    assert store.state()["buckets"] == 7
+    store.apply(counts.delta(counts.from_arrays(frame(spark, [(50, ["w3"])]), "doc_id", "title_tokens")), counts.totals(frame(spark, [(50, ["w3"])]), "doc_id", "title_tokens"))
+    state = store.state()
+    assert sorted(state["folders"].values()).count("counts-000000002") == 1  # only the bucket of w3 was written
+    assert {r.term: r.n_records for r in store.counts().collect()} == {f"w{i}": 2 if i == 3 else 1 for i in range(20)}

@@ -44,6 +44,8 @@ def test_against_brute_force(spark, seed, hot):
     want = {(i, j) for i, a in rows for j, b in rows if i < j and a and b and longest_common(a, b) >= least}
     got = [tuple(r) for r in spans.pairs(df, "doc_id", "text", least, hot).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    links = {r.doc_id: r.n_links for r in spans.link_counts(df, "doc_id", "text", least, hot).collect()}
+    assert {d: n for d, n in links.items() if n} == {d: sum(d in p for p in want) for d in {x for p in want for x in p}}
     whole = {r.doc_id: r for r in spans.shared(df, "doc_id", "text", least, hot).collect()}
     assert len(whole) == len(rows)
     for i, t in rows:
