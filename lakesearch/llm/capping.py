@@ -19,4 +19,4 @@ def dropped(df: DataFrame, contributor: Column, order: list[Column], cap: int, c
     All rows are ranked by one global range sort (`ranking.ranked`), so a contributor of any size is spread over
     partitions and nothing is broadcast that grows with the data. Rows of a null contributor are never dropped.
     """
-    return ranked(df, contributor, order, columns).where(F.col("rank") >= cap).select(*columns)
+    return ranked(df, contributor, order, columns).where(F.col("_rank") >= cap).select(*columns)
