@@ -34,7 +34,7 @@ def fresh(entries: DataFrame, order: list[Column], seen: DataFrame | None = None
 def scheduled(entries: DataFrame, order: list[Column], delay: float = 1.0) -> DataFrame:
     """Entries with `slot`, their place in their domain's queue from 0, and `start_s`, the second at which politeness
     lets them go. A null domain is one queue. Ranks come from one global sort, so no task holds a domain's queue."""
-    placed = ranked(entries, F.coalesce("domain", F.lit("")), order, entries.columns).withColumnRenamed("rank", "slot")
+    placed = ranked(entries, F.coalesce("domain", F.lit("")), order, entries.columns).withColumnRenamed("_rank", "slot")
     return placed.withColumn("start_s", F.col("slot") * F.lit(float(delay)))
 
 

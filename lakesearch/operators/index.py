@@ -89,7 +89,7 @@ def with_ids(docs: DataFrame, order: list[Column]) -> DataFrame:
     base = known.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
     rest = [c for c in docs.columns if c != "doc_id"]
     new = ranked(docs.where("doc_id is null"), F.lit(0), order, rest)
-    return known.unionByName(new.withColumn("doc_id", F.col("rank") + F.lit(base)).select(*docs.columns))
+    return known.unionByName(new.withColumn("doc_id", F.col("_rank") + F.lit(base)).select(*docs.columns))
 
 
 def document(docs: DataFrame, doc_id: int) -> DataFrame:

@@ -44,10 +44,10 @@ def downloads(fetches: DataFrame) -> DataFrame:
     status 200 and no error, addresses that robots rules forbade, and all else."""
     rows = fetches.dropDuplicates(["fetch_id"])
     error = F.lower(F.coalesce("error", F.lit("")))
-    blocked, fine = error.contains("robots"), (F.col("status") == 200) & (error == "")
+    blocked, fine = error.contains("robots"), F.coalesce((F.col("status") == 200) & (error == ""), F.lit(False))
 
     def n(x: Column) -> Column:
-        return F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0))
+        return F.coalesce(F.sum(x.cast("long")), F.lit(0))
 
     return rows.agg(F.count(F.lit(1)).alias("requests"), n(fine).alias("success"), n(~fine & ~blocked).alias("errors"), n(blocked).alias("robots_blocked"))
 

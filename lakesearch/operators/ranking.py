@@ -9,7 +9,7 @@ from lakesearch.sources.shared import materialize
 
 
 def ranked(df: DataFrame, group: Column, order: list[Column], columns: list[str]) -> DataFrame:
-    """`columns` and `rank`, a row's place from 0 in its group by `order` (ascending keys); rows of a null group are left out.
+    """`columns` and `_rank`, a row's place from 0 in its group by `order` (ascending keys); rows of a null group are left out.
 
     One global range sort by (group, order). The sizes of the partitions before turn a row's place in its partition into
     its global position; less the position at which its group starts, that is its rank. A group of any size is spread
@@ -31,4 +31,4 @@ def ranked(df: DataFrame, group: Column, order: list[Column], columns: list[str]
     exact = placed.join(offsets, "_part").withColumn("_position", F.col("_before") + F.col("_place"))
     # written first, so that Spark knows its bytes when it chooses the join
     begins = materialize(exact.groupBy("_group").agg(F.min("_position").alias("_begin")), "begins")
-    return exact.join(begins, "_group").select(*columns, (F.col("_position") - F.col("_begin")).alias("rank"))
+    return exact.join(begins, "_group").select(*columns, (F.col("_position") - F.col("_begin")).alias("_rank"))

@@ -60,3 +60,24 @@ def test_monitor(spark):
     assert [r.line_no for r in monitor.log_tail(lines, "ERROR", 3).collect()] == list(range(39, 20, -2))
     tasks = spark.createDataFrame([("a", "x", t, None, None, 5), ("b", "x", t, t + dt.timedelta(seconds=10), None, 5)], "id string, status string, started_at timestamp, finished_at timestamp, duration double, crawled bigint")
     assert {r.id: r.rate for r in monitor.task_rates(tasks).collect()} == {"a": None, "b": 0.5}
+
+
+def test_one_domain_is_ranked_in_many_tasks(spark):
+    rows = spark.range(3000).select(F.col("id").alias("entry_id"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, "b").otherwise("hot").alias("domain"), (F.col("id") * 7919 % 3000).cast("double").alias("priority")).repartition(6)
+    got = {r.entry_id: r.slot for r in frontier.scheduled(rows, ORDER()).collect()}
+    want = {}
+    for domain in (None, "b", "hot"):
+        own = [r for r in rows.collect() if r.domain == domain]
+        want |= {r.entry_id: i for i, r in enumerate(sorted(own, key=lambda r: (r.priority, r.entry_id)))}
+    assert got == want
+
+
+def test_downloads_and_records(spark):
+    rows = [(1, 200, None), (1, 200, None), (2, 200, "Blocked by robots.txt"), (3, 500, ""), (4, None, None)]
+    df = spark.createDataFrame(rows, "fetch_id bigint, status int, error string")
+    assert tuple(monitor.downloads(df).first()) == (4, 1, 2, 1) and tuple(monitor.downloads(df.limit(0)).first()) == (0, 0, 0, 0)
+    t = dt.datetime(2025, 1, 1)
+    schema = "id string, status string, started_at timestamp"
+    history = spark.createDataFrame([(f"t{i}", "finished", t + dt.timedelta(hours=i)) for i in range(5)], schema)
+    new = spark.createDataFrame([("t9", "finished", t + dt.timedelta(hours=9)), ("t3", "error", t + dt.timedelta(hours=3))], schema)
+    assert [(r.id, r.status) for r in monitor.recorded(history, new, 3).collect()] == [("t9", "finished"), ("t4", "finished"), ("t3", "error")]

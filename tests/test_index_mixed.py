@@ -87,7 +87,7 @@ def test_stream_indexes_chinese(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     pages = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     ingest.index_pages(pages, str(tmp_path / "out"), str(tmp_path / "cp"), words=WORDS).awaitTermination(60)
-    assert places(spark.read.parquet(str(tmp_path / "out/postings"))) == expected(ROWS)
+    assert places(index.load(spark, str(tmp_path / "out"), "postings")) == expected(ROWS)
 
 
 def test_registered_queries_hold_chinese_terms(spark, tmp_path):

@@ -105,3 +105,24 @@ def test_upsert_delete_list_save(spark, idx, tmp_path):
     index.save(spark, str(tmp_path), "v1", postings=idx.post)
     index.save(spark, str(tmp_path), "v2", postings=idx.post.where("doc_id = 0"))
     assert set(ids(index.load(spark, str(tmp_path), "postings"))) == {0}
+
+
+def test_ids_and_lookups(spark, idx, tmp_path):
+    docs = spark.createDataFrame([(4, "a", 1), (None, "c", 2), (None, "b", 3), (None, None, 4)], "doc_id bigint, url string, rank int")
+    got = {(r.url, r.rank): r.doc_id for r in index.with_ids(docs, [F.col("url"), F.col("rank")]).collect()}
+    assert got == {("a", 1): 4, (None, 4): 5, ("b", 3): 6, ("c", 2): 7}
+    empty = docs.limit(0)
+    assert index.with_ids(empty, [F.col("url")]).collect() == [] and index.document(docs, 4).count() == 1 and index.listing(docs)[1] == 4
+    assert {r.doc_id for r in idx.postings_of("fish").collect()} == {r.doc_id for r in idx.post.where("term = 'fish'").collect()} and idx.length_of(-1).collect() == []
+    index.save(spark, str(tmp_path), "v1", documents=idx.docs, **idx.tables())
+    opened = Index.open(spark, str(tmp_path))
+    assert opened.size == pytest.approx(idx.size)
+    assert [tuple(r) for r in opened.ranked(parse("red fish")).collect()] == [tuple(r) for r in idx.ranked(parse("red fish")).collect()]
+
+
+def test_answers(idx):
+    found = idx.answer("fish", 1, 1).first()
+    assert (found.total, found.page, found.page_size, found.suggestion, len(found.results)) == (idx.ranked(parse("fish")).count(), 1, 1, None, 1)
+    lost = idx.answer("fixh").first()
+    assert (lost.total, lost.suggestion, lost.results) == (0, "fish", [])
+    assert idx.answer("").first().total == 4 and idx.answer("zzzzzzzz").first().suggestion is None

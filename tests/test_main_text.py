@@ -23,8 +23,8 @@ def test_every_page_has_its_tier(spark, tmp_path):
     import duckdb
 
     spark.createDataFrame(ROWS, DOCS).coalesce(1).write.parquet(str(tmp_path / "crawl_docs.parquet"))
-    got = {r.doc_id: r.body_text for r in queries.QUERIES["page_main_text"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.body_text for r in queries.QUERIES["page_article_text"](spark, str(tmp_path)).collect()}
     assert got == WANT
     c = duckdb.connect()
     c.sql(f"create view crawl_docs as select * from '{tmp_path}/crawl_docs.parquet/*.parquet'")
-    assert dict(c.sql(queries.SQL["page_main_text"]).fetchall()) == WANT
+    assert dict(c.sql(queries.SQL["page_article_text"]).fetchall()) == WANT

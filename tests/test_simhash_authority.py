@@ -75,3 +75,27 @@ def test_pagerank_edges(spark):
     assert {r.authority for r in authority.normalized(flat).collect()} == {1.0}
     twice = spark.createDataFrame([(1, "u", None), (2, "u", None), (3, "v", ["u", "v#x"])], "doc_id bigint, url string, outlinks array<string>")
     assert [tuple(r) for r in authority.edges(twice).collect()] == [(3, 2)]
+
+
+def test_authority_is_written_back(spark):
+    docs = spark.createDataFrame([(0, "a", ["b", "c"], None), (1, "b", ["c"], 0.5), (2, "c", ["a"], 0.5)], "doc_id bigint, url string, outlinks array<string>, authority double")
+    ranks = authority.pagerank(docs.select("doc_id"), authority.edges(docs))
+    new, summary = authority.written_back(docs, ranks)
+    want = {r.doc_id: r.authority for r in authority.normalized(ranks).collect()}
+    assert {r.doc_id: r.authority for r in new.collect()} == want and new.columns == docs.columns
+    assert tuple(summary.first()) == (3, max(want.values()), min(want.values()))
+    assert {r.doc_id: r.authority for r in authority.rebuilt(docs, "cli").collect()} == {0: None, 1: 0.5, 2: 0.5}
+    assert {r.doc_id: r.authority for r in authority.rebuilt(docs, "managed").collect()} == want
+    assert tuple(authority.written_back(docs, ranks.limit(0))[1].first()) == (0, 0.0, 0.0)
+
+
+def test_links_do_not_move_again(spark):
+    """The join of ranks and links shuffles only the ranks."""
+    from pyspark.sql import functions as F
+
+    from lakesearch.sources.shared import bucketed
+
+    links = bucketed(spark.range(1000).select((F.col("id") % 50).alias("src"), F.col("id").alias("dst")), "links", "src")
+    ranks = spark.range(50).select(F.col("id").alias("src"), F.lit(1.0).alias("rank"))
+    plan = links.join(ranks.hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -63,3 +64,41 @@ def test_suggest_and_correct(spark):
     assert text.suggestions(stats, " ").collect() == []
     q = spark.createDataFrame([(1, ["harbor", "city"]), (2, ["city"]), (3, ["旅", "hatt"]), (4, ["zzzzzzz"])], "query_id int, tokens array<string>")
     assert {r.query_id: r.corrected for r in text.corrected(q, stats).collect()} == {1: "harbour city", 2: None, 3: "旅 hat", 4: None}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nearest_is_exact(spark, seed):
+    """Against brute force, over short, middle and long words, with ties by first place."""
+    random.seed(seed)
+
+    def changed(w):
+        for _ in range(random.randrange(4)):
+            i, c = random.randrange(len(w) + 1), random.choice("abcé")
+            w = random.choice([w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :]]) or c
+        return w
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    base = ["".join(random.choice("abcé") for _ in range(n)) for n in (1, 2, 3, 5, 8, 18, 19, 20, 21, 22, 23, 24, 40) for _ in range(3)]
+    terms = sorted({changed(w) for w in base * 3})
+    words = sorted({changed(w) for w in base * 3})
+    stats = spark.createDataFrame([(t, i // 3, i % 3) for i, t in enumerate(terms)], "term string, first_doc int, first_pos int")
+    got = {r.word: r.term for r in text.nearest(spark.createDataFrame([(w,) for w in words], "word string"), stats).collect()}
+    want = {}
+    for w in words:
+        near = [(d, i, t) for i, t in enumerate(terms) if (d := distance(w, t)) <= 2]
+        if near:
+            want[w] = min(near)[2]
+    assert got == want
+
+
+def test_emissions():
+    e = tokens.trained_emissions([("北京", 3), ("我", None), ("天安门", 1), ("", 5)])
+    assert e["B"] == pytest.approx({"北": math.log(3 / 4), "天": math.log(1 / 4)}) and e["S"] == {"我": 0.0} and e["M"] == {"安": 0.0}
+    assert tokens.viterbi_cut("我北京", tokens.HMM_START, tokens.HMM_MOVE, e) == ["我", "北京"]
