@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ OUTSIDE, OUTSIDE_NEAR = 0.7, 0.5
 LEAST_WHOLE, LEAST_PART = 4, 8
 #: A paragraph that stands in so many bodies with other beginnings is a notice (a refetched page has one beginning).
 COPIES = 6
-#: Forms are kept if they make up one in MOST of all, so at most MOST are: 300 000 of 9 bytes.
+#: Forms that make up one in MOST of all go to every task, so at most MOST do: 300 000 of 10 bytes. All others are joined.
 MOST = 300_000
 
 _HAN = "一-鿿"
@@ -126,8 +127,17 @@ def observe(text: str) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-def learned(df: DataFrame, body: str) -> tuple[np.ndarray, np.ndarray]:
-    """(forms ascending, percent outside): what the surge and dive points of all pages say about each frequent form.
+def _said(outside: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """(percent outside, weight) of forms by their places."""
+    total = outside + inside
+    # few places say little: a part of a line needs more of them than a whole line, which `Votes` asks for
+    percent = np.where(total == 0, 100, np.round((outside + 0.5) * 100 / (total + 1))).astype(np.uint8)
+    return np.stack([percent, np.minimum(np.where(total == 0, COPIES, total), 255).astype(np.uint8)])
+
+
+def learned(df: DataFrame, body: str) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """What the surge and dive points of all pages say about each form that recurs: (forms ascending, percent outside and
+    weight) of the most frequent ones, and a table (form, outside, inside) of all others, None if there are none.
 
     Counted by Spark with partial sums in Python and before the shuffle. What reaches the driver is bounded by MOST.
     """
@@ -149,33 +159,55 @@ def learned(df: DataFrame, body: str) -> tuple[np.ndarray, np.ndarray]:
     counts = seen.groupBy("form").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"), F.bit_count(F.bit_or("bits")).alias("copies"))
     n = F.greatest(F.col("outside") + F.col("inside"), F.col("copies"))
     counts = counts.select("form", "outside", "inside", n.alias("n")).where((F.col("outside") + F.col("inside") >= LEAST_WHOLE) | (F.col("copies") >= COPIES))
-    # no more than MOST forms can make up one in MOST of all, so nothing is sorted or cut off
+    # no more than MOST forms can make up one in MOST of all, so nothing is sorted
     counts = materialize(counts, "forms")
-    seen_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen_all, least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(0))).first()
     top = counts.where(F.col("n") * MOST >= seen_all).toArrow()
     form, outside, inside = (top.column(c).to_numpy() for c in ("form", "outside", "inside"))
-    total = outside + inside
-    # few places say little: a part of a line needs more of them than a whole line, which `Votes` asks for
-    percent = np.where(total == 0, 100, np.round((outside + 0.5) * 100 / (total + 1))).astype(np.uint8)
-    weight = np.minimum(np.where(total == 0, COPIES, total), 255).astype(np.uint8)
     order = np.argsort(form)
-    return form[order], np.stack([percent, weight])[:, order]
+    rest = counts.where(F.col("n") * MOST < seen_all).select("form", "outside", "inside") if least * MOST < seen_all else None
+    return form[order], _said(outside, inside)[:, order], rest
 
 
 class Votes:
-    """How far outside of bodies a line's form stands, 0 to 1, or None where nothing is known."""
+    """How far outside of bodies a line's form stands, 0 to 1, or None where nothing is known.
+
+    `known` holds the forms that every task has, `page` those that were looked up for the page at hand.
+    """
 
     def __init__(self, form: np.ndarray, said: np.ndarray):
-        self.known = dict(zip(form.tolist(), zip(said[0].tolist(), said[1].tolist(), strict=True), strict=True))
+        self.known = self._of(form, said)
+        self.page: dict[int, tuple[int, int]] = {}
+
+    @staticmethod
+    def _of(form: np.ndarray, said: np.ndarray) -> dict[int, tuple[int, int]]:
+        return dict(zip(form.tolist(), zip(said[0].tolist(), said[1].tolist(), strict=True), strict=True))
+
+    def turn(self, form: np.ndarray, said: np.ndarray) -> None:
+        """To the next page, with what was looked up for it."""
+        self.page = self._of(form, said)
+
+    def unknown(self, text: str) -> set[int]:
+        """Forms of a page's lines that have to be looked up."""
+        out: set[int] = set()
+        _, lines, widths = _page(text)
+        for line, width in zip(lines, widths, strict=True):
+            asked = (_hash("=" + line),) if width >= PARAGRAPH else forms(line)
+            if asked[0] not in self.known:  # else its parts are not asked for
+                out.update(f for f in asked if f not in self.known)
+        return out
+
+    def _find(self, form: int) -> tuple[int, int] | None:
+        return self.known.get(form) or self.page.get(form)
 
     def __call__(self, line: str, width: int) -> float | None:
         if width >= PARAGRAPH:
-            found = self.known.get(_hash("=" + line))
+            found = self._find(_hash("=" + line))
             return found[0] / 100 if found else None
         whole, *parts = forms(line)
-        if found := self.known.get(whole):
+        if found := self._find(whole):
             return found[0] / 100
-        known = [x[0] for p in parts if (x := self.known.get(p)) and x[1] >= LEAST_PART]
+        known = [x[0] for p in parts if (x := self._find(p)) and x[1] >= LEAST_PART]
         return sum(known) / len(known) / 100 if known else None
 
 
@@ -211,19 +243,47 @@ def furniture(text: str, votes: Votes) -> list[int] | None:
     return [at[i] + 1 for i in range(n) if gone[i]]
 
 
+def _looked_up(pages: DataFrame, table: Broadcast, rest: DataFrame) -> DataFrame:
+    """`pages` (page, body, ...) with `said`, a list of (form, outside, inside) of the page's forms that are in `rest`, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = Votes(*table.value)
+        for batch in batches:
+            found = [(p, votes.unknown(b)) for p, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if b]
+            sizes = [len(f) for _, f in found]
+            page = np.repeat(np.array([p for p, _ in found], np.int64), sizes)
+            form = np.fromiter((x for _, f in found for x in f), np.int64, sum(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(form), pa.array(page)], names=["form", "page"])
+
+    asked = pages.select("page", "body").mapInArrow(run, "form bigint, page bigint")
+    # equal rows ask the same, so `page` needs no more than to be the same each time a row is read
+    said = asked.join(rest, "form").groupBy("page").agg(F.collect_set(F.struct("form", "outside", "inside")).alias("said"))
+    return pages.join(materialize(said, "said"), "page", "left")
+
+
 def _pages(df: DataFrame, record: str, title: str, body: str, links: str, out: str, schema: str) -> DataFrame:
     spark = df.sparkSession
-    table = spark.sparkContext.broadcast(learned(df, body))
+    *top, rest = learned(df, body)
+    joined = rest is not None
+    table = spark.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes = Votes(*table.value)
         for batch in batches:
-            docs, titles, bodies, counts = (batch.column(i).to_pylist() for i in range(4))
+            docs, titles, bodies, counts = (batch.column(c).to_pylist() for c in ("doc_id", "title", "body", "links"))
+            if joined:
+                said = batch.column("said")
+                ends = said.offsets.to_numpy()
+                form, outside, inside = (said.values.field(i).to_numpy() for i in range(3))
+                values_of = _said(outside, inside)
             ids: list[int] = []
             values: list = []
-            for doc, t, b, n in zip(docs, titles, bodies, counts, strict=True):
+            for row, (doc, t, b, n) in enumerate(zip(docs, titles, bodies, counts, strict=True)):
                 if not b or not b.strip() or is_heap(t, b, n):
                     continue
+                if joined:
+                    part = slice(ends[row], ends[row + 1])
+                    votes.turn(form[part], values_of[:, part])
                 gone = furniture(b, votes)
                 if gone is None:
                     continue
@@ -237,7 +297,17 @@ def _pages(df: DataFrame, record: str, title: str, body: str, links: str, out: s
             kind = pa.int32() if out == "line_no" else pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, kind)], names=["doc_id", out])
 
-    return spread(df.selectExpr(f"cast({record} as bigint) doc_id", title, body, f"greatest(coalesce(size(filter({links}, x -> x is not null)), 0), 0) links")).mapInArrow(run, schema)
+    pages = df.select(
+        F.col(record).cast("bigint").alias("doc_id"),
+        F.col(title).alias("title"),
+        F.col(body).alias("body"),
+        F.expr(f"greatest(coalesce(size(filter({links}, x -> x is not null)), 0), 0)").alias("links"),
+        *([F.xxhash64(F.col(record).cast("bigint"), F.col(body)).alias("page")] if joined else []),
+    )
+    pages = spread(pages)
+    if joined:
+        pages = _looked_up(pages, table, rest).drop("page")
+    return pages.mapInArrow(run, schema)
 
 
 def furniture_lines(df: DataFrame, record: str, title: str, body: str, links: str) -> DataFrame:
