@@ -36,6 +36,9 @@ def near_classes(prints: DataFrame, distance: int = 3) -> tuple[DataFrame, DataF
     Exact: the 64 bits are cut into d + 3 blocks, of which d differing bits leave three whole, so two such fingerprints
     agree on one of the choices of three blocks (20 for d = 3). Each choice is a key of some 32 bits, so that few others
     share it, and what does is verified. Equal fingerprints are one class: a group of copies costs one row in the join.
+
+    The keys are joined by shuffle at any size: Spark's estimate has neither their explosion nor Parquet's compression in
+    it, so the driver would be sent 20 rows for each class of a table that just seems small enough to broadcast.
     """
     rows = prints.where("simhash is not null and simhash <> 0").select("doc_id", "simhash")
     classes = rows.groupBy("simhash").agg(F.min("doc_id").alias("class_id"))
@@ -51,7 +54,7 @@ def near_classes(prints: DataFrame, distance: int = 3) -> tuple[DataFrame, DataF
     a = keyed.select("key", F.col("class_id").alias("class_a"), F.col("simhash").alias("hash_a"))
     b = keyed.select("key", F.col("class_id").alias("class_b"), F.col("simhash").alias("hash_b"))
     apart = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    links = a.join(b, "key").where((F.col("class_a") < F.col("class_b")) & (apart <= distance))
+    links = a.join(b.hint("merge"), "key").where((F.col("class_a") < F.col("class_b")) & (apart <= distance))
     return members, links.select("class_a", "class_b", apart.cast("int").alias("distance")).distinct()
 
 

@@ -57,6 +57,16 @@ def test_gate_and_links(spark, seed):
     assert sorted(r.doc_id for r in simhash.kept(df).collect()) == gate(prints, 3)
 
 
+def test_keys_are_not_broadcast(spark):
+    """Of a table that seems small, 20 keys for each class must not be sent to the driver."""
+    from lakesearch.sources.shared import materialize
+
+    df = materialize(spark.createDataFrame([(1, 7), (2, 7), (3, 5), (4, 0), (5, -1), (6, -2)], "doc_id bigint, simhash bigint"), "prints")
+    links = simhash.near_classes(df)[1]
+    assert sorted(map(tuple, links.collect())) == [(1, 3, 1), (5, 6, 1)]
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pagerank(spark):
     docs = spark.createDataFrame([(0, "a", ["b", "c", None, "a"]), (1, "b", ["c", "c"]), (2, "c", ["a", "nowhere"]), (3, None, None)], "doc_id bigint, url string, outlinks array<string>")
     e = authority.edges(docs)
