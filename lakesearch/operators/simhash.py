@@ -29,6 +29,11 @@ def fingerprints(tokens: DataFrame) -> DataFrame:
     return sums.select("doc_id", F.shiftleft(side("hi"), 32).bitwiseOR(side("lo")).alias("simhash"))
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(simhash, class_id), class_id the least doc_id of a fingerprint. Zero and null fingerprints are left out."""
+    return prints.where("simhash is not null and simhash <> 0").groupBy("simhash").agg(F.min("doc_id").alias("class_id"))
+
+
 def near_classes(prints: DataFrame, distance: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links): (doc_id, class_id) with class_id the least doc_id of a fingerprint, and (class_a, class_b, distance)
     between fingerprints that differ in 1 to `distance` bits, class_a < class_b. Zero and null fingerprints are left out.
@@ -41,7 +46,7 @@ def near_classes(prints: DataFrame, distance: int = 3) -> tuple[DataFrame, DataF
     it, so the driver would be sent 20 rows for each class of a table that just seems small enough to broadcast.
     """
     rows = prints.where("simhash is not null and simhash <> 0").select("doc_id", "simhash")
-    classes = rows.groupBy("simhash").agg(F.min("doc_id").alias("class_id"))
+    classes = _classes(prints)
     members = rows.join(classes, "simhash").select("doc_id", "class_id")
     blocks = distance + 3
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -63,19 +68,18 @@ def kept(prints: DataFrame, distance: int = 3) -> DataFrame:
     already kept. Zero and null fingerprints always pass.
 
     Each round decides the classes all of whose earlier neighbours are decided; a link goes from a lower id to a higher,
-    so the rounds are as many as the longest chain of undecided neighbours.
+    so the rounds are as many as the longest chain of undecided neighbours. They join by shuffle: written tables are a few
+    bytes a row, many times that in a broadcast.
     """
-    members, links = near_classes(prints, distance)
-    links = materialize(links, "links")
-    members = materialize(members, "members")
-    state = materialize(members.select("class_id").distinct().withColumn("keep", F.lit(None).cast("boolean")), "gate")
+    links = materialize(near_classes(prints, distance)[1], "links")
+    state = materialize(_classes(prints).select("class_id").distinct().withColumn("keep", F.lit(None).cast("boolean")), "gate")
     while True:
         a = state.select(F.col("class_id").alias("class_a"), F.col("keep").alias("keep_a"))
-        seen = links.join(a, "class_a").groupBy(F.col("class_b").alias("class_id")).agg(
+        seen = links.join(a.hint("merge"), "class_a").groupBy(F.col("class_b").alias("class_id")).agg(
             F.max(F.coalesce("keep_a", F.lit(False))).alias("near_kept"), F.max(F.col("keep_a").isNull()).alias("open")
         )
         new = F.when(F.coalesce("near_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-        state = materialize(state.join(seen, "class_id", "left").select("class_id", F.coalesce("keep", new).alias("keep")), "gate")
+        state = materialize(state.join(seen.hint("merge"), "class_id", "left").select("class_id", F.coalesce("keep", new).alias("keep")), "gate")
         if not state.where("keep is null").limit(1).count():
             break
     # of a class only its first document passes; the others are at distance 0 of it

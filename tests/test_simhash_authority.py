@@ -67,6 +67,23 @@ def test_keys_are_not_broadcast(spark):
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
 
 
+def test_gate_broadcasts_nothing(spark, monkeypatch):
+    """Tables that seem small are not sent to the driver: 20 keys for each class, and the state of each round."""
+    plans = []
+    written = simhash.materialize
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    prints = [(i, signed(0x9E3779B97F4A7C15 * (i // 3 + 1) % 2**64 ^ (1 << i % 3) - 1)) for i in range(60)]
+    df = written(spark.createDataFrame(prints, "doc_id bigint, simhash bigint"), "prints")
+    monkeypatch.setattr(simhash, "materialize", noted)
+    assert sorted(r.doc_id for r in simhash.kept(df).collect()) == gate(prints, 3)
+    assert {"links", "gate"} <= {name for name, _ in plans}
+    assert {name for name, plan in plans if "Broadcast" in plan} == set()
+
+
 def test_pagerank(spark):
     docs = spark.createDataFrame([(0, "a", ["b", "c", None, "a"]), (1, "b", ["c", "c"]), (2, "c", ["a", "nowhere"]), (3, None, None)], "doc_id bigint, url string, outlinks array<string>")
     e = authority.edges(docs)
